@@ -47,12 +47,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_table(df: DataFrame, name: str) -> None:
-    """Append rows; the table is created on the first call. Columns are matched by name."""
-    if has_table(df.sparkSession, name):
-        df.select(*df.sparkSession.table(name).columns).write.mode("append").insertInto(name)
-    else:
-        df.write.format("parquet").saveAsTable(name)
+def append_table(df: DataFrame, name: str, location: str | None = None) -> None:
+    """Append rows, matching columns by name; the first call creates the table."""
+    spark = df.sparkSession
+    if has_table(spark, name):
+        df.select(*spark.table(name).columns).write.insertInto(name)
+        return
+    writer = df.write.format("parquet")
+    (writer.option("path", location) if location else writer).saveAsTable(name)
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
