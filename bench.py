@@ -38,6 +38,7 @@ def session() -> SparkSession:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-tables-"))
         .getOrCreate()
     )
@@ -92,7 +93,7 @@ def main() -> None:
     warm, cold = {}, {}
     cold["build_warehouse"] = warm["build_warehouse"] = seconds(lambda: sink.build_warehouse(
         spark, sample.events(spark, FOLDER), sample.products(spark, FOLDER),
-        sample.newusers(spark, FOLDER)))
+        sample.newusers(spark, FOLDER), sink.StoreLayout(rebalance=tuple(STORED_COLUMNS))))
     in_memory = [scan.materialize(spark.table(name)) for name in STORED_COLUMNS]
     rows = {name: df.count() for name, df in zip(STORED_COLUMNS, in_memory)}
     for name, build in report_queries(spark).items():

@@ -608,6 +608,20 @@ def _(spark, folder):
     return event_table.events_page(events(spark, folder), DIRECT_GOO, asked, 2, 50)
 
 
+@query("events_page_after", with_(EVENTS, f"""
+    SELECT CAST(event_date AS VARCHAR) AS event_date,
+           strftime(event_datetime, '%H:%M:%S') AS event_datetime, event_name,
+           coalesce(transaction_id, '-') AS transaction_id
+    FROM ga_events e WHERE {RECENT}
+    ORDER BY e.event_datetime DESC, e.event_name LIMIT 50 OFFSET 50"""))
+def _(spark, folder):
+    rows = events(spark, folder, RECENT_DAYS)
+    first = event_table.events_page_after(rows, RECENT_DAYS, size=50)
+    cursor = ordering.Cursor.after([r.sort_values for r in first.collect()])
+    following = event_table.events_page_after(rows, RECENT_DAYS, cursor, size=50)
+    return following.select("event_date", "event_datetime", "event_name", "transaction_id")
+
+
 @query("top_k", """
     SELECT o_custkey, round(sum(o_totalprice), 2) AS spent FROM orders
     GROUP BY o_custkey ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 10""")

@@ -26,7 +26,8 @@ from webmetrics.spec import FilterSpec
 def _(spark, folder):
     stored = shared_folder(spark, "shards")
     sink.write_parquet(sample.raw_events(spark, folder).select(
-        "event_id", "table_suffix", "event_name"), stored, partition_by=("table_suffix",))
+        "event_id", "table_suffix", "event_name"), stored, partition_by=("table_suffix",),
+        rebalance=True)
     schema = "event_id BIGINT, event_name STRING, table_suffix STRING"
     return scan.read_raw_events(spark, stored, "20240105", "20240112", schema)
 
@@ -144,7 +145,7 @@ def _(spark, folder):
     rows = sample.events(spark, folder).select(
         "event_date", "event_datetime", "event_name", "user_pseudo_id", "country",
         "transaction_id")
-    sink.write_parquet(rows, stored, partition_by=("event_date",))
+    sink.write_parquet(rows, stored, partition_by=("event_date",), rebalance=True)
     return scan.read_table_path(spark, stored, rows.schema)
 
 
@@ -152,7 +153,7 @@ def _layout(spark, name):
     where = shared_folder(spark, name)
     database = "webmetrics_" + where.rsplit("-", 1)[-1]
     spark.sql(f"CREATE DATABASE `{database}` LOCATION '{where}'")
-    return sink.StoreLayout(database=database, location=where)
+    return sink.StoreLayout(database=database, location=where, rebalance=tuple(STORED_COLUMNS))
 
 
 def _loader(spark, folder):

@@ -398,6 +398,28 @@ def test_sort_uses_what_is_shown(spark):
     assert [r["traffic_medium"] for r in by_medium] == ["cpc"] * 15 + ["(direct)"] * 30
 
 
+@pytest.mark.parametrize("sort", [
+    None,
+    [{"column_id": "traffic_medium", "direction": "asc"}],
+    [{"column_id": "total_purchase_revenue", "direction": "desc"},
+     {"column_id": "event_datetime", "direction": "asc"}],
+])
+def test_following_cursors_visits_every_row_once(spark, sort):
+    base = _forty_five(spark)
+    copies = frames.events(spark, *[{"country": "copy"}] * 33)
+    gaps = frames.events(spark, {"event_datetime": None}, {"event_date": None},
+                         {"event_datetime": None, "event_name": None})
+    df = base.unionByName(copies).unionByName(gaps).cache()
+    whole = [list(r.values())[:-1] for r in dicts(event_table.events_page(df, ALL, sort, 0, 100))]
+    assert len(whole) == 81
+    seen, cursor = [], None
+    while rows := event_table.events_page_after(df, ALL, cursor, sort, 10).collect():
+        seen += [list(r.asDict().values())[:-1] for r in rows]
+        cursor = ordering.Cursor.after([r.sort_values for r in rows], cursor)
+    assert seen == whole
+    df.unpersist()
+
+
 def test_sort_keys_are_checked(spark):
     allowed = ["a", "b"]
     asked = [{"column_id": "a", "direction": "asc"}, {"column_id": "evil; DROP"},

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -17,7 +19,10 @@ def duck():
 def test_same_rows_as_sql(spark, duck, name):
     expected = oracle_sql().get(name)
     assert expected, f"{name} has no SQL"
-    names, rows = spark_rows(queries()[name](spark, FOLDER))
+    df = queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|CartesianProduct|NestedLoop", plan)
+    names, rows = spark_rows(df)
     sql_names, wanted = sql_rows(duck, expected)
     assert names == sql_names
     assert len(rows) > 0

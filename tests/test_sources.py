@@ -130,7 +130,7 @@ def test_warehouse(spark, database):
     assert sorted(spark.table(f"{database}.events").columns) == sorted(STORED_COLUMNS["events"])
     built = sink.build_warehouse(
         spark, ev, pr, frames.newusers(spark, {}),
-        sink.StoreLayout(database=database, rebalance=True))
+        sink.StoreLayout(database=database, rebalance=("events", "products", "newusers")))
     assert built == ["events", "products", "newusers"]
     stored = scan.open_table(spark, f"{database}.events")
     assert stored.count() == 2

@@ -22,12 +22,14 @@ def count_rows(df: DataFrame, name: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+def frequency(df: DataFrame, key: Column, name: str, count: str = "cnt") -> DataFrame:
+    """Rows per key, in no order."""
+    return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias(count))
+
+
 def count_by(df: DataFrame, key: Column, name: str, count: str = "cnt") -> DataFrame:
     """Rows per key, most frequent first."""
-    return (
-        df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias(count))
-        .orderBy(F.desc(count), F.asc_nulls_last(name))
-    )
+    return frequency(df, key, name, count).orderBy(F.desc(count), F.asc_nulls_last(name))
 
 
 def with_share(df: DataFrame, count: str = "cnt", name: str = "share") -> DataFrame:
@@ -77,19 +79,20 @@ def stage_flags(events: DataFrame, stages: Sequence[str]) -> DataFrame:
     ])
 
 
-def options_by_frequency(df: DataFrame, column: str, keep: Column | None = None) -> DataFrame:
+def options_by_frequency(df: DataFrame, column: str, keep: Column | None = None,
+                         ordered: bool = True) -> DataFrame:
     """Values to choose from, most frequent first."""
-    return count_by(df if keep is None else df.where(keep), F.col(column), "value")
+    kept = df if keep is None else df.where(keep)
+    return (count_by if ordered else frequency)(kept, F.col(column), "value")
 
 
-def medium_options(events: DataFrame, direct: str = DIRECT) -> DataFrame:
+def medium_options(events: DataFrame, direct: str = DIRECT, ordered: bool = True) -> DataFrame:
     """Distinct mediums, NULL first, as (value, label)."""
-    return (
-        events.select("traffic_medium").distinct()
-        .orderBy(F.asc_nulls_first("traffic_medium"))
-        .select(F.coalesce("traffic_medium", F.lit("")).alias("value"),
-                medium_label("traffic_medium", direct).alias("label"))
-    )
+    mediums = events.select("traffic_medium").distinct()
+    if ordered:
+        mediums = mediums.orderBy(F.asc_nulls_first("traffic_medium"))
+    return mediums.select(F.coalesce("traffic_medium", F.lit("")).alias("value"),
+                          medium_label("traffic_medium", direct).alias("label"))
 
 
 def date_bounds(events: DataFrame, default_days: int = 30) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ def directed(column: Column, ascending: bool) -> Column:
 
 
 def order_by(keys: Sequence[SortKey], shown: dict[str, Column],
-             default: Sequence[Column]) -> list[Column]:
-    """Orderings on what the reader sees, or the default if nothing valid was asked."""
-    return [directed(shown[key.column], key.ascending) for key in keys] or list(default)
+             default: Sequence[tuple[Column, bool]]) -> list[tuple[Column, bool]]:
+    """(column, ascending) keys on what the reader sees; the default if none is valid."""
+    return [(shown[key.column], key.ascending) for key in keys] or list(default)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -30,10 +31,56 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 def page(df: DataFrame, order: Sequence[Column], number: int | None,
          size: int = PAGE_SIZE) -> DataFrame:
-    """Rows of one page, counted from 0. Past the end: no rows."""
+    """Rows of one page, counted from 0. Past the end: no rows.
+
+    Each task keeps the rows up to the end of the page, so follow ``page_after`` to go deep.
+    """
     return df.orderBy(*order).offset((number or 0) * size).limit(size)
 
 
 def page_count(total: Column, size: int = PAGE_SIZE) -> Column:
     """Pages needed for ``total`` rows, at least one."""
     return F.greatest(F.lit(1), F.ceil(total / F.lit(float(size)))).cast("int")
+
+
+def not_before(keys: Sequence[tuple[Column, bool]], last: Sequence) -> Column:
+    """Rows that an order by (column, ascending) keys, NULLs last, does not put before ``last``."""
+    result = F.lit(True)
+    for (column, ascending), value in reversed(list(zip(keys, last, strict=True))):
+        if value is None:
+            result = column.isNull() & result
+            continue
+        beyond = column > F.lit(value) if ascending else column < F.lit(value)
+        result = beyond | column.isNull() | ((column == F.lit(value)) & result)
+    return F.coalesce(result, F.lit(False))
+
+
+@dataclass(frozen=True)
+class Cursor:
+    """Where a page ended: the sort values of its last row, and how many rows with exactly
+    these values were shown so far (rows that agree in all of them are interchangeable)."""
+
+    values: tuple
+    shown: int
+
+    @staticmethod
+    def after(rows: Sequence[Sequence], before: Cursor | None = None) -> Cursor | None:
+        """The cursor behind a page, given the sort values of its rows and the page's own
+        cursor; None behind an empty page."""
+        if not rows:
+            return None
+        last = tuple(rows[-1])
+        shown = sum(tuple(r) == last for r in rows)
+        if before is not None and before.values == last:
+            shown += before.shown
+        return Cursor(last, shown)
+
+
+def page_after(df: DataFrame, keys: Sequence[tuple[Column, bool]], cursor: Cursor | None,
+               size: int = PAGE_SIZE) -> DataFrame:
+    """The next page. Work does not grow with the number of pages before it."""
+    order = [directed(c, ascending) for c, ascending in keys]
+    if cursor is None:
+        return df.orderBy(*order).limit(size)
+    rest = df.where(not_before(keys, cursor.values))
+    return rest.orderBy(*order).offset(cursor.shown).limit(size)

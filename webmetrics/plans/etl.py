@@ -38,7 +38,8 @@ def run_etl(spark: SparkSession, raw: DataFrame, out: str, start: str = DEFAULT_
         "newusers": (build_new_users(shards, tie_break), "first_visit_date"),
     }
     rows = {
-        name: extract(name, df, f"{out}/{name}", partition_by=(day,), replace=replace)
+        name: extract(name, df, f"{out}/{name}", partition_by=(day,), replace=replace,
+                      rebalance=name in layout.rebalance)
         for name, (df, day) in frames.items()
     }
     stored = {

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from webmetrics.functions.predicates import event_filter
 from webmetrics.functions.scalar import iso_text, money, named, or_else, time_text
 from webmetrics.operators.measures import count_rows
-from webmetrics.operators.ordering import PAGE_SIZE, order_by, page, page_count
+from webmetrics.operators.ordering import (
+    PAGE_SIZE,
+    Cursor,
+    directed,
+    order_by,
+    page,
+    page_after,
+    page_count,
+)
 from webmetrics.schema import DASH, DIRECT, EVENT_TABLE_COLUMNS
 from webmetrics.spec import FilterSpec, sort_keys
 
@@ -35,15 +43,15 @@ def display_events(events: DataFrame) -> DataFrame:
     return events.select(*[c.alias(n) for n, c in event_display().items()])
 
 
-def event_order(sort: Iterable[Mapping[str, str]] | None = None) -> list[Column]:
-    """A definite order of events.
+def event_keys(sort: Iterable[Mapping[str, str]] | None = None) -> list[tuple[Column, bool]]:
+    """(column, ascending) keys that put events in a definite order.
 
     Requested keys compare what is shown (the time of day, the placeholders); without any,
     the latest event comes first. Equal rows follow the table's stored columns.
     """
     asked = order_by(sort_keys(sort, EVENT_TABLE_COLUMNS), event_display(),
-                     default=[F.desc_nulls_last("event_datetime")])
-    return [*asked, *[F.asc_nulls_last(c) for c in EVENT_TABLE_COLUMNS]]
+                     default=[(F.col("event_datetime"), False)])
+    return [*asked, *[(F.col(c), True) for c in EVENT_TABLE_COLUMNS]]
 
 
 def events_page(events: DataFrame, spec: FilterSpec,
@@ -55,5 +63,19 @@ def events_page(events: DataFrame, spec: FilterSpec,
     """
     rows = events.where(event_filter(spec))
     pages = page_count(count_rows(rows, "total").scalar(), size)
-    return display_events(page(rows, event_order(sort), number, size)) \
-        .withColumn("page_count", pages)
+    order = [directed(c, ascending) for c, ascending in event_keys(sort)]
+    return display_events(page(rows, order, number, size)).withColumn("page_count", pages)
+
+
+def events_page_after(events: DataFrame, spec: FilterSpec, cursor: Cursor | None = None,
+                      sort: Iterable[Mapping[str, str]] | None = None,
+                      size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind a cursor, with a ``sort_values`` struct on each row.
+
+    ``Cursor.after([r.sort_values for r in rows], cursor)`` leads to the following page.
+    """
+    keys = event_keys(sort)
+    rows = page_after(events.where(event_filter(spec)), keys, cursor, size)
+    values = F.struct(*[c.alias(f"key_{i}") for i, (c, _) in enumerate(keys)])
+    return rows.select(*[c.alias(n) for n, c in event_display().items()],
+                       values.alias("sort_values"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,45 +11,44 @@ from webmetrics.functions.predicates import non_empty
 from webmetrics.operators.measures import date_bounds, medium_options, options_by_frequency
 from webmetrics.schema import DIRECT
 
-CATEGORY_SCOPE = "event_name = 'purchase'"
-
-
-def country_options(events: DataFrame) -> DataFrame:
-    return options_by_frequency(events, "country", F.col("country").isNotNull())
+def country_options(events: DataFrame, ordered: bool = True) -> DataFrame:
+    return options_by_frequency(events, "country", F.col("country").isNotNull(), ordered)
 
 
-def event_name_options(events: DataFrame) -> DataFrame:
-    return options_by_frequency(events, "event_name")
+def event_name_options(events: DataFrame, ordered: bool = True) -> DataFrame:
+    return options_by_frequency(events, "event_name", None, ordered)
 
 
-def category_options(products: DataFrame) -> DataFrame:
+def category_options(products: DataFrame, ordered: bool = True) -> DataFrame:
     """From purchases only: that is what the category filter is applied to."""
+    bought = F.col("event_name") == "purchase"
     return options_by_frequency(products, "item_category",
-                                F.expr(CATEGORY_SCOPE) & non_empty("item_category"))
+                                bought & non_empty("item_category"), ordered)
 
 
 def filter_options(events: DataFrame, products: DataFrame,
                    direct: str = DIRECT) -> DataFrame:
-    """All option lists and the date range as (field, value, label, cnt).
+    """All option lists and the date range as (field, value, label, cnt), in no order.
 
     Each part scans just the column it lists. Sort a field by ``cnt`` descending.
     """
-    def listed(field: str, options: DataFrame) -> DataFrame:
-        return options.select(F.lit(field).alias("field"), "value",
-                              F.col("value").alias("label"), "cnt")
-
-    mediums = medium_options(events, direct).select(
-        F.lit("medium").alias("field"), "value", "label", F.lit(None).cast("long").alias("cnt"))
-    dates = date_bounds(events).select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("value"),
-                 F.col(name).cast("string").alias("label"),
-                 F.lit(None).cast("long").alias("cnt"))
-        for name in ("min_date", "max_date", "default_start", "default_end")
-    ])))
-    return (
-        listed("country", country_options(events))
-        .unionByName(listed("event_name", event_name_options(events)))
-        .unionByName(listed("category", category_options(products)))
-        .unionByName(mediums)
-        .unionByName(dates)
-    )
+    no_count = F.lit(None).cast("long").alias("cnt")
+
+    def listed(field: str, values: DataFrame) -> DataFrame:
+        return values.select(F.lit(field).alias("field"), "value",
+                             F.col("value").alias("label"), "cnt")
+
+    mediums = medium_options(events, direct, ordered=False).select(
+        F.lit("medium").alias("field"), "value", "label", no_count)
+    bounds = ("min_date", "max_date", "default_start", "default_end")
+    stacked = ", ".join(f"'{b}', cast({b} AS string)" for b in bounds)
+    dates = date_bounds(events).select(
+        F.expr(f"stack({len(bounds)}, {stacked}) AS (field, value)")
+    ).select("field", "value", F.col("value").alias("label"), no_count)
+    parts = [
+        listed("country", country_options(events, ordered=False)),
+        listed("event_name", event_name_options(events, ordered=False)),
+        listed("category", category_options(products, ordered=False)),
+        mediums, dates,
+    ]
+    return reduce(DataFrame.unionByName, parts)

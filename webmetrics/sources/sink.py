@@ -17,14 +17,21 @@ from webmetrics.spec import Day, as_day
 
 def write_parquet(df: DataFrame, path: str, rows_per_group: int = CHUNK_ROWS,
                   rows_per_file: int | None = None,
-                  partition_by: tuple[str, ...] = (), replace: str = "all") -> None:
+                  partition_by: tuple[str, ...] = (), replace: str = "all",
+                  rebalance: bool = False) -> None:
     """Snappy Parquet with at most ``rows_per_group`` rows in a row group.
 
     Row groups, not files, are the bounded unit: many small files would be slow to list and
     open on a large table. ``rows_per_file`` cuts files as well where that is wanted.
     ``replace='all'`` overwrites the target; ``'partitions'`` only the partitions present in
     ``df``, e.g. one reloaded month.
+
+    ``rebalance`` shuffles rows by ``partition_by`` before writing. Use it when the rows are
+    not yet clustered that way, since each task writes a file per partition it meets. AQE sizes
+    the tasks: small partitions share one, a partition with most of the rows gets several.
     """
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     _parquet_writer(df, rows_per_group, rows_per_file, partition_by, replace).parquet(path)
 
 
@@ -78,15 +85,16 @@ def extract(name: str, df: DataFrame, path: str, **write_options) -> int:
 class StoreLayout:
     """Where stored tables live and how they are split.
 
-    Days split the tables, so a date filter reads only the days it needs. Set ``rebalance``
-    when the input is not already clustered by day: AQE then sizes the write tasks and splits
-    a day that holds most of the rows.
+    Days split the tables, so a date filter reads only the days it needs. ``rebalance`` names
+    the tables whose rows are shuffled by day before writing (see ``write_parquet``): new users
+    always come out of a join by person, while events and products follow the delivery, which
+    is clustered by day already.
     """
 
     database: str | None = None
     location: str | None = None
     by_day: bool = True
-    rebalance: bool = False
+    rebalance: tuple[str, ...] = ("newusers",)
 
     def table(self, name: str) -> str:
         return f"{self.database}.{name}" if self.database else name
@@ -105,10 +113,10 @@ def build_warehouse(spark: SparkSession, events: DataFrame, products: DataFrame,
             continue
         day = _DAY_COLUMN[name]
         pruned = prune(df, STORED_COLUMNS[name])
-        if layout.rebalance:
-            pruned = pruned.hint("rebalance", day)
-        writer = _parquet_writer(pruned, CHUNK_ROWS, None, (day,) if layout.by_day else (),
-                                 "all")
+        days = (day,) if layout.by_day else ()
+        if name in layout.rebalance:
+            pruned = pruned.hint("rebalance", *days)
+        writer = _parquet_writer(pruned, CHUNK_ROWS, None, days, "all")
         if layout.location:
             writer = writer.option("path", f"{layout.location}/{name}")
         writer.saveAsTable(layout.table(name))
