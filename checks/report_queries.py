@@ -466,6 +466,13 @@ def _(spark, folder):
         products(spark, folder), events(spark, folder), DIRECT_GOO), revenue=2)
 
 
+@query("category_revenue_dated", with_(SOLD, _category_sql(f"{_MATCHED} AND {RECENT}")))
+def _(spark, folder):
+    spec = FilterSpec(mediums=("", "cpc"), keyword="goo", start="2024-01-16", end="2024-01-30")
+    return rounded(product_report.category_revenue(
+        products(spark, folder), events(spark, folder), spec), revenue=2)
+
+
 @query("category_revenue_all", with_(SOLD, _category_sql(RECENT)))
 def _(spark, folder):
     return rounded(product_report.category_revenue(

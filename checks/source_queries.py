@@ -127,8 +127,8 @@ def _(spark, folder):
     rows = _order_purchases(spark, folder)
     where = shared_folder(spark, "appended")
     name = "webmetrics_" + where.rsplit("-", 1)[-1]
-    sink.append_table(rows.where("purchase_id % 2 = 0"), name, location=where)
-    sink.append_table(rows.where("purchase_id % 2 = 1"), name, location=where)
+    sink.append_table(rows.where("year < 2023"), name, location=where)
+    sink.append_table(rows.where("year >= 2023"), name, location=where)
     return scan.open_table(spark, name).groupBy("status").agg(
         F.count(F.lit(1)).alias("cnt"), F.sum("quantity").alias("quantity"))
 

@@ -11,6 +11,7 @@ from tests.test_skew import shuffled
 from webmetrics.operators.semijoin import filter_products_by_events
 from webmetrics.plans import event_report, event_table, newuser_report, options, product_report
 from webmetrics.sources import driver_tables as sample
+from webmetrics.sources.sink import write_parquet
 from webmetrics.spec import FilterSpec
 
 RECENT = FilterSpec(start="2024-01-16", end="2024-01-30")
@@ -110,6 +111,36 @@ def test_totals_are_combined_before_the_join(spark, stored):
     assert "partial_sum" in below
 
 
+def rows_read(df):
+    """Rows each scan of an executed plan gave, in plan order."""
+    def visit(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return visit(node.executedPlan())
+        if "QueryStage" in name:
+            return visit(node.plan())
+        if name.startswith("Scan parquet"):
+            return [node.metrics().get("numOutputRows").get().value()]
+        children = node.children()
+        return [n for i in range(children.size()) for n in visit(children.apply(i))]
+
+    df.collect()
+    return visit(df._jdf.queryExecution().executedPlan())
+
+
+def test_dates_of_products_limit_the_events_read(spark, stored, tmp_path):
+    events, products = stored["events"], stored["products"]
+    for name, df in (("events", events), ("products", products)):
+        write_parquet(df, str(tmp_path / name), partition_by=("event_date",))
+    events, products = (spark.read.parquet(str(tmp_path / n)) for n in ("events", "products"))
+    spec = FilterSpec(mediums=("", "cpc"), start="2024-01-16", end="2024-01-17")
+    found = product_report.category_revenue(products, events, spec)
+    sold, seen = rows_read(found)
+    days = "event_date BETWEEN '2024-01-16' AND '2024-01-17'"
+    assert sold == products.where(days).count()
+    assert seen == events.where(days).count() < events.count() / 10
+
+
 def test_small_sides_are_broadcast_by_size(spark, stored):
     found = filter_products_by_events(stored["products"], stored["events"], AUDIENCE)
     assert "BroadcastHashJoin" in final_plan(found)

@@ -88,6 +88,15 @@ def test_row_groups_are_bounded_and_files_are_not(spark, tmp_path):
     assert spark.read.parquet(path).count() == 10
 
 
+def test_times_have_statistics(spark, tmp_path):
+    path = tmp_path / "times"
+    before = spark.conf.get("spark.sql.parquet.outputTimestampType")
+    sink.write_parquet(frames.events(spark, {}).select("event_datetime").coalesce(1), str(path))
+    column = pq.ParquetFile(next(path.glob("*.parquet"))).metadata.row_group(0).column(0)
+    assert column.physical_type == "INT64" and column.statistics.has_min_max
+    assert spark.conf.get("spark.sql.parquet.outputTimestampType") == before
+
+
 def test_empty_result_still_has_a_file(spark, tmp_path):
     path = str(tmp_path / "empty")
     assert sink.extract("none", spark.range(0), path) == 0

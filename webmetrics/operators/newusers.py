@@ -53,12 +53,13 @@ def build_new_users(raw: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
     Purchases before the first visit count as well and give negative days. Conversion is
     judged inside ``raw`` only: load the whole period, not month by month.
     """
-    first = first_event_per_user(raw, "first_visit", tie_break).select(
-        "user_pseudo_id",
+    visits = raw.select(
+        "user_pseudo_id", "event_name", "event_timestamp", *tie_break,
         event_column("event_date").alias("first_visit_date"),
         event_column("event_datetime").alias("first_visit_datetime"),
         *map(event_column, FIRST_VISIT_DIMENSIONS),
     )
+    first = first_event_per_user(visits, "first_visit", tie_break)
     bought = purchase_rollup(raw).withColumn("buyer", F.col("user_pseudo_id"))
     return first.join(bought, "user_pseudo_id", "left").select(
         "user_pseudo_id", "first_visit_date", "first_visit_datetime", *FIRST_VISIT_DIMENSIONS,

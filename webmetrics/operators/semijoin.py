@@ -30,9 +30,23 @@ def _needs_events(spec: FilterSpec, events: DataFrame | None) -> bool:
     return spec.narrows_events
 
 
-def matching_keys(events: DataFrame, spec: FilterSpec, *also: str) -> DataFrame:
-    """The distinct keys of events that satisfy the audience filters (dates play no part)."""
-    return events.where(audience_filter(spec)).select(*EVENT_KEY, *also).distinct()
+def matching_keys(bought: DataFrame, events: DataFrame, spec: FilterSpec,
+                  *also: str) -> DataFrame:
+    """The distinct keys of events that satisfy the audience filters.
+
+    The dates of the filter say nothing about event rows. When they narrow the products,
+    though, only events from the first to the last moment of these products can match, so the
+    rest is neither read (the range reaches the scan) nor shuffled.
+    """
+    wanted = audience_filter(spec)
+    if spec.start is not None or spec.end is not None:
+        moment = F.col("event_datetime")
+        # The second condition keeps Spark from merging both values into one struct, whose
+        # fields the Parquet reader could not compare with its statistics.
+        first = bought.agg(F.min("event_datetime")).scalar()
+        last = bought.where(moment.isNotNull()).agg(F.max("event_datetime")).scalar()
+        wanted = wanted & (moment >= first) & (moment <= last)
+    return events.where(wanted).select(*EVENT_KEY, *also).distinct()
 
 
 def filter_products_by_events(products: DataFrame, events: DataFrame | None,
@@ -46,7 +60,7 @@ def filter_products_by_events(products: DataFrame, events: DataFrame | None,
     bought = products.where(product_filter(spec))
     if not _needs_events(spec, events):
         return bought
-    keys = matching_keys(events, spec, "event_date").select(*EVENT_KEY)
+    keys = matching_keys(bought, events, spec, "event_date").select(*EVENT_KEY)
     return bought.join(keys, EVENT_KEY, "left_semi")
 
 
@@ -63,7 +77,7 @@ def totals_by_events(products: DataFrame, events: DataFrame | None, spec: Filter
     if _needs_events(spec, events):
         measured = (
             measured.groupBy(*EVENT_KEY, *group).agg(F.sum("measure").alias("measure"))
-            .join(matching_keys(events, spec), EVENT_KEY, "left_semi")
+            .join(matching_keys(bought, events, spec), EVENT_KEY, "left_semi")
         )
     return measured.groupBy(*group).agg(F.sum("measure").alias(total))
 
@@ -82,5 +96,5 @@ def leading_by_events(products: DataFrame, events: DataFrame | None, spec: Filte
     return (
         bought.withColumn("place", F.row_number().over(within_key))
         .where(F.col("place") <= rows).drop("place")
-        .join(matching_keys(events, spec), EVENT_KEY, "left_semi")
+        .join(matching_keys(bought, events, spec), EVENT_KEY, "left_semi")
     )

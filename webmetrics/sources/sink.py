@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date
 
@@ -32,7 +33,21 @@ def write_parquet(df: DataFrame, path: str, rows_per_group: int = CHUNK_ROWS,
     """
     if rebalance:
         df = df.hint("rebalance", *partition_by)
-    _parquet_writer(df, rows_per_group, rows_per_file, partition_by, replace).parquet(path)
+    with _times_with_statistics(df.sparkSession):
+        _parquet_writer(df, rows_per_group, rows_per_file, partition_by, replace).parquet(path)
+
+
+@contextmanager
+def _times_with_statistics(spark: SparkSession):
+    """Store times as 64-bit microseconds: unlike the default type, these have minima and
+    maxima per row group, by which a time range skips data."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _parquet_writer(df: DataFrame, rows_per_group: int, rows_per_file: int | None,
@@ -119,7 +134,8 @@ def build_warehouse(spark: SparkSession, events: DataFrame, products: DataFrame,
         writer = _parquet_writer(pruned, CHUNK_ROWS, None, days, "all")
         if layout.location:
             writer = writer.option("path", f"{layout.location}/{name}")
-        writer.saveAsTable(layout.table(name))
+        with _times_with_statistics(spark):
+            writer.saveAsTable(layout.table(name))
         built.append(name)
     return built
 
