@@ -103,6 +103,16 @@ def test_empty_result_still_has_a_file(spark, tmp_path):
     assert scan.read_table_path(spark, path).count() == 0
 
 
+def test_empty_result_behind_a_shuffle_is_counted(spark, tmp_path):
+    nothing = frames.raw(spark, {"event_date": "20240101", "event_timestamp": 1, "items": []})
+    rows = explode_items(nothing)
+    assert sink.extract("none", rows, str(tmp_path / "a"), partition_by=("event_date",),
+                        rebalance=True) == 0
+    some = frames.events(spark, {}, {})
+    assert sink.extract("some", some, str(tmp_path / "b"), partition_by=("event_date",),
+                        rebalance=True) == 2
+
+
 def test_replacing_one_partition_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "days")
     days = spark.createDataFrame([("a", 1), ("b", 2)], "day STRING, v INT")
@@ -126,7 +136,11 @@ def test_extract_counts_while_writing(spark, tmp_path):
 def test_matched_rows_is_the_filtered_count(spark):
     df = frames.events(spark, {"country": "A"}, {"country": "B"}, {"country": "A"})
     rows, seen = matched_rows(df, FilterSpec(countries=["A"]))
-    assert len(rows.collect()) == 2 and seen.get["rows"] == 2
+    assert len(rows.collect()) == 2 and seen.rows == 2
+    for act in (lambda df: df.groupBy("country").count().collect(), lambda df: df.collect()):
+        rows, seen = matched_rows(df, FilterSpec(countries=["none"]))
+        act(rows)
+        assert seen.rows == 0
 
 
 def test_warehouse(spark, database):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webmetrics.functions.predicates import event_filter
@@ -33,7 +33,7 @@ from webmetrics.schema import (
     PERIOD_UNKNOWN,
     UNKNOWN_DEVICE,
 )
-from webmetrics.sources.sink import counted
+from webmetrics.sources.sink import RowCount, counted
 from webmetrics.spec import FilterSpec
 
 KPIS = ("events", "users", "revenue", "transactions")
@@ -170,7 +170,7 @@ def funnel_rates(counts: DataFrame, stages: Sequence[str] = FUNNEL_STAGES) -> Da
     return counts.select(F.inline(F.array(*lines)))
 
 
-def matched_rows(events: DataFrame, spec: FilterSpec) -> tuple[DataFrame, Observation]:
+def matched_rows(events: DataFrame, spec: FilterSpec) -> tuple[DataFrame, RowCount]:
     """Filtered events and the number of them, counted while another action reads them."""
     return counted(filtered(events, spec))
 
