@@ -161,6 +161,24 @@ def test_page_shows_columns_only_for_its_rows(stored):
     assert "date_format" not in below[below.index("\n"):]
 
 
+def test_wide_columns_are_read_for_the_page_only(spark, stored, tmp_path):
+    write_parquet(stored["events"], str(tmp_path / "days"), partition_by=("event_date",))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    first = event_table.events_page(days, FilterSpec(), None, 0)
+    assert rows_read(first)[0] < days.count() / 10
+    rows = first.collect()
+    assert len(rows) == 20 and rows[0]["event_date"] == "2024-01-30"
+    plan = plan_of(first)
+    assert any("event_datetime" in s and "country" not in s for s in scans(plan))
+
+
+def test_page_and_count_share_the_semi_join_shuffles(spark, stored):
+    with shuffled(spark):
+        page = product_report.products_page(stored["products"], stored["events"], AUDIENCE, 0)
+        page.collect()
+        assert plan_of(page).split("== Initial Plan ==")[0].count("ReusedExchange") >= 2
+
+
 def test_options_read_one_column_each(stored):
     plan = plan_of(options.filter_options(stored["events"], stored["products"]))
     assert sorted(len(s.split(",")) for s in scans(plan)) == [1, 1, 1, 1, 2]

@@ -38,6 +38,23 @@ def page(df: DataFrame, order: Sequence[Column], number: int | None,
     return df.orderBy(*order).offset((number or 0) * size).limit(size)
 
 
+def at_most(df: DataFrame, key: Column, ascending: bool, edge: Column) -> DataFrame:
+    """Rows not behind ``edge`` in the order of ``key``; NULLs stay, as they sort last."""
+    return df.where((key <= edge if ascending else key >= edge) | key.isNull())
+
+
+def reaching(df: DataFrame, key: Column, ascending: bool, rows: int) -> DataFrame:
+    """Rows that can be among the first ``rows`` in an order that starts with ``key``.
+
+    A first pass over the key alone finds its value in the last of these rows. Where ``key`` is
+    a stored column, the wide second pass then skips all row groups behind that value.
+    """
+    keys = df.select(key.alias("key")).where("key IS NOT NULL")
+    edge = F.max("key") if ascending else F.min("key")
+    first = top_k(keys, [directed(F.col("key"), ascending)], rows).agg(edge)
+    return at_most(df, key, ascending, first.scalar())
+
+
 def page_count(total: Column, size: int = PAGE_SIZE) -> Column:
     """Pages needed for ``total`` rows, at least one."""
     return F.greatest(F.lit(1), F.ceil(total / F.lit(float(size)))).cast("int")
@@ -52,7 +69,7 @@ def not_before(keys: Sequence[tuple[Column, bool]], last: Sequence) -> Column:
             continue
         beyond = column > F.lit(value) if ascending else column < F.lit(value)
         result = beyond | column.isNull() | ((column == F.lit(value)) & result)
-    return F.coalesce(result, F.lit(False))
+    return result
 
 
 @dataclass(frozen=True)
@@ -76,11 +93,15 @@ class Cursor:
         return Cursor(last, shown)
 
 
+def behind(df: DataFrame, keys: Sequence[tuple[Column, bool]],
+           cursor: Cursor | None) -> DataFrame:
+    """Rows from the cursor's values on, those shown already included."""
+    return df if cursor is None else df.where(not_before(keys, cursor.values))
+
+
 def page_after(df: DataFrame, keys: Sequence[tuple[Column, bool]], cursor: Cursor | None,
                size: int = PAGE_SIZE) -> DataFrame:
     """The next page. Work does not grow with the number of pages before it."""
     order = [directed(c, ascending) for c, ascending in keys]
-    if cursor is None:
-        return df.orderBy(*order).limit(size)
-    rest = df.where(not_before(keys, cursor.values))
-    return rest.orderBy(*order).offset(cursor.shown).limit(size)
+    shown = cursor.shown if cursor else 0
+    return behind(df, keys, cursor).orderBy(*order).offset(shown).limit(size)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webmetrics.functions.predicates import audience_filter, product_filter
+from webmetrics.operators.ordering import reaching, top_k
 from webmetrics.spec import FilterSpec
 
 EVENT_KEY = ["user_pseudo_id", "event_datetime"]
@@ -64,37 +65,52 @@ def filter_products_by_events(products: DataFrame, events: DataFrame | None,
     return bought.join(keys, EVENT_KEY, "left_semi")
 
 
-def totals_by_events(products: DataFrame, events: DataFrame | None, spec: FilterSpec,
-                     by: Sequence[Column], measure: Column, total: str) -> DataFrame:
-    """``sum(measure)`` under the whole filter, per ``by`` (or overall).
+def _summed(bought: DataFrame, events: DataFrame, spec: FilterSpec, by: Sequence[Column],
+            measure: Column) -> DataFrame:
+    """Matching keys with ``measure`` summed per key and ``by`` (columns by_0, by_1, ...).
 
-    All rows of a key share the join's answer, so they are summed per key first.
+    All rows of a key share the join's answer, so they are combined map-side before it.
     """
+    group = [c.alias(f"by_{i}") for i, c in enumerate(by)]
+    return (
+        bought.groupBy(*EVENT_KEY, *group).agg(F.sum(measure).alias("measure"))
+        .join(matching_keys(bought, events, spec), EVENT_KEY, "left_semi")
+    )
+
+
+def totals_by_events(products: DataFrame, events: DataFrame | None, spec: FilterSpec,
+                     by: Sequence[Column], measure: Column, total: str) -> DataFrame:
+    """``sum(measure)`` under the whole filter, per ``by`` (or overall)."""
     bought = products.where(product_filter(spec))
+    if not _needs_events(spec, events):
+        group = [c.alias(f"by_{i}") for i, c in enumerate(by)]
+        return bought.groupBy(*group).agg(F.sum(measure).alias(total))
     group = [f"by_{i}" for i in range(len(by))]
-    measured = bought.select(*EVENT_KEY, measure.alias("measure"),
-                             *[c.alias(g) for c, g in zip(by, group)])
-    if _needs_events(spec, events):
-        measured = (
-            measured.groupBy(*EVENT_KEY, *group).agg(F.sum("measure").alias("measure"))
-            .join(matching_keys(bought, events, spec), EVENT_KEY, "left_semi")
-        )
-    return measured.groupBy(*group).agg(F.sum("measure").alias(total))
+    return _summed(bought, events, spec, by, measure).groupBy(*group).agg(
+        F.sum("measure").alias(total))
 
 
 def leading_by_events(products: DataFrame, events: DataFrame | None, spec: FilterSpec,
                       order: Sequence[Column], rows: int) -> DataFrame:
-    """Product rows under the whole filter, less those that cannot be among the first ``rows``.
+    """Product rows under the whole filter, less those that cannot be among the ``rows`` latest.
 
-    ``order`` sorts rows of one key. A row behind ``rows`` others of its own key has as many
-    ahead of it in any order that starts with the key's time, so dropping it loses nothing.
+    ``order`` sorts rows of one time. Every key stands for at least one row, so the latest
+    ``rows`` matching keys reach far enough back. A row behind ``rows`` others of its own key
+    has as many ahead of it, so that a key with very many rows is thinned map-side. Neither
+    step loses a row of the page.
     """
     bought = products.where(product_filter(spec))
+    moment = F.col("event_datetime")
     if not _needs_events(spec, events):
-        return bought
+        return reaching(bought, moment, False, rows)
+    # The condition is always true. It keeps the sum, so that this plan and the row count of
+    # the page (``totals_by_events`` of 1) share their shuffles.
+    keys = _summed(bought, events, spec, [], F.lit(1)).where("measure > 0")
+    earliest = top_k(keys, [F.desc("event_datetime")], rows).agg(F.min("event_datetime"))
+    recent = bought.where(moment >= earliest.scalar())
     within_key = Window.partitionBy(*EVENT_KEY).orderBy(*order)
     return (
-        bought.withColumn("place", F.row_number().over(within_key))
+        recent.withColumn("place", F.row_number().over(within_key))
         .where(F.col("place") <= rows).drop("place")
         .join(matching_keys(bought, events, spec), EVENT_KEY, "left_semi")
     )

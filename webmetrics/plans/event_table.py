@@ -13,11 +13,13 @@ from webmetrics.operators.measures import count_rows
 from webmetrics.operators.ordering import (
     PAGE_SIZE,
     Cursor,
+    behind,
     directed,
     order_by,
     page,
     page_after,
     page_count,
+    reaching,
 )
 from webmetrics.schema import DASH, DIRECT, EVENT_TABLE_COLUMNS
 from webmetrics.spec import FilterSpec, sort_keys
@@ -54,6 +56,14 @@ def event_keys(sort: Iterable[Mapping[str, str]] | None = None) -> list[tuple[Co
     return [*asked, *[(F.col(c), True) for c in EVENT_TABLE_COLUMNS]]
 
 
+def _candidates(rows: DataFrame, sort: Iterable[Mapping[str, str]] | None,
+                count: int) -> DataFrame:
+    """Rows a page can show. Only the default order starts with a stored column."""
+    if sort_keys(sort, EVENT_TABLE_COLUMNS):
+        return rows
+    return reaching(rows, F.col("event_datetime"), False, count)
+
+
 def events_page(events: DataFrame, spec: FilterSpec,
                 sort: Iterable[Mapping[str, str]] | None = None, number: int | None = 0,
                 size: int = PAGE_SIZE) -> DataFrame:
@@ -64,7 +74,8 @@ def events_page(events: DataFrame, spec: FilterSpec,
     rows = events.where(event_filter(spec))
     pages = page_count(count_rows(rows, "total").scalar(), size)
     order = [directed(c, ascending) for c, ascending in event_keys(sort)]
-    return display_events(page(rows, order, number, size)).withColumn("page_count", pages)
+    near = _candidates(rows, sort, ((number or 0) + 1) * size)
+    return display_events(page(near, order, number, size)).withColumn("page_count", pages)
 
 
 def events_page_after(events: DataFrame, spec: FilterSpec, cursor: Cursor | None = None,
@@ -75,7 +86,8 @@ def events_page_after(events: DataFrame, spec: FilterSpec, cursor: Cursor | None
     ``Cursor.after([r.sort_values for r in rows], cursor)`` leads to the following page.
     """
     keys = event_keys(sort)
-    rows = page_after(events.where(event_filter(spec)), keys, cursor, size)
+    rest = behind(events.where(event_filter(spec)), keys, cursor)
+    near = _candidates(rest, sort, size + (cursor.shown if cursor else 0))
     values = F.struct(*[c.alias(f"key_{i}") for i, (c, _) in enumerate(keys)])
-    return rows.select(*[c.alias(n) for n, c in event_display().items()],
-                       values.alias("sort_values"))
+    return page_after(near, keys, cursor, size).select(
+        *[c.alias(n) for n, c in event_display().items()], values.alias("sort_values"))
