@@ -78,10 +78,8 @@ ga_sold AS (
 
 NEWUSERS = EVENTS + """,
 ga_first AS (
-    SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_pseudo_id
-                                     ORDER BY event_datetime, event_id) AS rn
-        FROM ga_events WHERE event_name = 'first_visit') WHERE rn = 1
+    SELECT DISTINCT ON (user_pseudo_id) * FROM ga_events WHERE event_name = 'first_visit'
+    ORDER BY user_pseudo_id, event_datetime, event_id
 ),
 ga_bought AS (
     SELECT user_pseudo_id, min(event_datetime) AS first_purchase_datetime,
@@ -120,6 +118,32 @@ def with_(relations: str, select: str) -> str:
     return f"WITH {relations.strip()}\n{select.strip()}"
 
 
+def shown(c: str, text: str, blank: bool = False) -> str:
+    """A column with a text in place of NULL and, if asked, of the empty text."""
+    missing = f"{c} IS NULL" + (f" OR {c} = ''" if blank else "")
+    return f"CASE WHEN {missing} THEN {text} ELSE {c} END AS {c}"
+
+
+def cents(c: str) -> str:
+    return f"round(CASE WHEN {c} IS NULL THEN 0 ELSE {c} END, 2) AS {c}"
+
+
+EVENT_SHOWN = ", ".join([
+    "CAST(event_date AS VARCHAR) AS event_date",
+    "strftime(event_datetime, '%H:%M:%S') AS event_datetime", "event_name",
+    shown("country", "'-'"), shown("device_type", "'-'"),
+    shown("traffic_medium", "'(direct)'", True), shown("traffic_source", "'-'", True),
+    shown("campaign_name", "'-'", True), shown("transaction_id", "'-'"),
+    cents("total_purchase_revenue"),
+])
+PRODUCT_SHOWN = ", ".join([
+    "CAST(event_date AS VARCHAR) AS event_date", "event_name", shown("item_id", "'-'"),
+    shown("item_name", "item_id", True), shown("item_brand", "'-'"),
+    shown("item_category", "'(未分類)'", True), cents("item_price"),
+    shown("item_quantity", "0"), cents("item_total_revenue"),
+])
+
+
 def micros(c: str) -> str:
     """A timestamp as text with six decimals."""
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"

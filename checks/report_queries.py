@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from checks.relations import (
     AUDIENCE,
+    EVENT_SHOWN,
     EVENTS,
     NEWUSERS,
+    PRODUCT_SHOWN,
     PRODUCTS,
     RECENT,
     SOLD,
@@ -17,7 +19,7 @@ from webmetrics.functions import predicates as pred
 from webmetrics.functions.scalar import flag_not_null, iso_text, named
 from webmetrics.operators import measures, newusers, ordering, semijoin
 from webmetrics.plans import event_report, event_table, newuser_report, options, product_report
-from webmetrics.schema import FUNNEL_STAGES
+from webmetrics.schema import EVENT_TABLE_COLUMNS, FUNNEL_STAGES, PRODUCT_TABLE_COLUMNS
 from webmetrics.sources import driver_tables as sample
 from webmetrics.spec import FilterSpec
 
@@ -189,10 +191,10 @@ def _(spark, folder):
 
 
 @query("first_event_per_user", with_(EVENTS, f"""
-    SELECT user_pseudo_id, event_id, {micros('event_datetime')} AS event_datetime FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_pseudo_id
-                                     ORDER BY event_datetime, event_id) AS rn
-        FROM ga_events WHERE event_name = 'view_item') WHERE rn = 1"""))
+    SELECT DISTINCT ON (user_pseudo_id)
+           user_pseudo_id, event_id, {micros('event_datetime')} AS event_datetime
+    FROM ga_events WHERE event_name = 'view_item'
+    ORDER BY user_pseudo_id, ga_events.event_datetime, event_id"""))
 def _(spark, folder):
     return newusers.first_event_per_user(sample.raw_events(spark, folder), "view_item",
                                          ["event_id"]) \
@@ -380,30 +382,20 @@ def _(spark, folder):
     return event_report.event_composition(events(spark, folder, RECENT_DAYS), RECENT_DAYS)
 
 
-_FLAGS = """
-    SELECT user_pseudo_id,
-           max(CASE WHEN event_name = 'view_item' THEN 1 ELSE 0 END) AS view_item,
-           max(CASE WHEN event_name = 'add_to_cart' THEN 1 ELSE 0 END) AS add_to_cart,
-           max(CASE WHEN event_name = 'begin_checkout' THEN 1 ELSE 0 END) AS begin_checkout,
-           max(CASE WHEN event_name = 'purchase' THEN 1 ELSE 0 END) AS purchase
-    FROM ga_events WHERE {where} GROUP BY user_pseudo_id"""
-
-
-@query("stage_flags", with_(EVENTS, _FLAGS.format(where="TRUE")))
+@query("stage_flags", with_(EVENTS, "SELECT user_pseudo_id, " + ", ".join(
+    f"CAST(bool_or(event_name = '{stage}') AS INTEGER) AS {stage}" for stage in FUNNEL_STAGES
+) + " FROM ga_events GROUP BY user_pseudo_id"))
 def _(spark, folder):
     return measures.stage_flags(events(spark, folder), FUNNEL_STAGES)
 
 
 _FUNNEL = f""",
-ga_flags AS ({_FLAGS.format(where=RECENT)}),
-ga_funnel AS (
-    SELECT CAST(coalesce(sum(view_item), 0) AS BIGINT) AS view_item,
-           CAST(coalesce(sum(view_item * add_to_cart), 0) AS BIGINT) AS add_to_cart,
-           CAST(coalesce(sum(view_item * add_to_cart * begin_checkout), 0) AS BIGINT)
-               AS begin_checkout,
-           CAST(coalesce(sum(view_item * add_to_cart * begin_checkout * purchase), 0) AS BIGINT)
-               AS purchase
-    FROM ga_flags)"""
+ga_people AS (
+    SELECT user_pseudo_id, list(DISTINCT event_name) AS done
+    FROM ga_events WHERE {RECENT} GROUP BY user_pseudo_id),
+ga_funnel AS (SELECT """ + ", ".join(
+    f"count(*) FILTER (WHERE list_has_all(done, {list(FUNNEL_STAGES[:i + 1])})) AS {stage}"
+    for i, stage in enumerate(FUNNEL_STAGES)) + " FROM ga_people)"
 
 
 @query("funnel", with_(EVENTS + _FUNNEL, "SELECT * FROM ga_funnel"))
@@ -416,18 +408,16 @@ def _rate(part, whole):
     return f"round(CASE WHEN {whole} = 0 THEN 0.0 ELSE {part} / {whole} * 100 END, 6)"
 
 
-@query("funnel_rates", with_(EVENTS + _FUNNEL, f"""
-    SELECT 1 AS position, 'view_item' AS stage, view_item AS users,
-           {_rate('view_item', 'view_item')} AS pct_initial, CAST(NULL AS DOUBLE) AS step_rate,
-           {_rate('purchase', 'view_item')} AS overall_rate FROM ga_funnel
-    UNION ALL SELECT 2, 'add_to_cart', add_to_cart, {_rate('add_to_cart', 'view_item')},
-           {_rate('add_to_cart', 'view_item')}, {_rate('purchase', 'view_item')} FROM ga_funnel
-    UNION ALL SELECT 3, 'begin_checkout', begin_checkout, {_rate('begin_checkout', 'view_item')},
-           {_rate('begin_checkout', 'add_to_cart')}, {_rate('purchase', 'view_item')}
-           FROM ga_funnel
-    UNION ALL SELECT 4, 'purchase', purchase, {_rate('purchase', 'view_item')},
-           {_rate('purchase', 'begin_checkout')}, {_rate('purchase', 'view_item')}
-           FROM ga_funnel"""))
+def _stage_sql(i):
+    stage, first, last = FUNNEL_STAGES[i], FUNNEL_STAGES[0], FUNNEL_STAGES[-1]
+    step = _rate(stage, FUNNEL_STAGES[i - 1]) if i else "CAST(NULL AS DOUBLE)"
+    return (f"SELECT {i + 1} AS position, '{stage}' AS stage, {stage} AS users, "
+            f"{_rate(stage, first)} AS pct_initial, {step} AS step_rate, "
+            f"{_rate(last, first)} AS overall_rate FROM ga_funnel")
+
+
+@query("funnel_rates", with_(EVENTS + _FUNNEL, "\n    UNION ALL ".join(
+    _stage_sql(i) for i in range(len(FUNNEL_STAGES)))))
 def _(spark, folder):
     counts = event_report.funnel(events(spark, folder, RECENT_DAYS), RECENT_DAYS)
     return rounded(event_report.funnel_rates(counts))
@@ -495,22 +485,16 @@ def _(spark, folder):
                                         DIRECT_GOO)
 
 
-def _products_page_sql(where, offset):
+def _page_sql(shown, relation, where, order, size, offset):
     return f"""
-    SELECT CAST(event_date AS VARCHAR) AS event_date, event_name,
-           coalesce(item_id, '-') AS item_id,
-           coalesce(nullif(item_name, ''), item_id) AS item_name,
-           coalesce(item_brand, '-') AS item_brand,
-           coalesce(nullif(item_category, ''), '(未分類)') AS item_category,
-           round(coalesce(item_price, 0), 2) AS item_price,
-           coalesce(item_quantity, 0) AS item_quantity,
-           round(coalesce(item_total_revenue, 0), 2) AS item_total_revenue,
-           CAST((SELECT greatest(1, ceil(count(*) / 20)) FROM ga_sold s WHERE {where}) AS INTEGER)
-               AS page_count
-    FROM ga_sold s WHERE {where}
-    ORDER BY s.event_datetime DESC, s.event_date, s.event_name, s.item_id, s.item_name,
-             s.item_brand, s.item_category, s.item_price, s.item_quantity, s.item_total_revenue
-    LIMIT 20 OFFSET {offset}"""
+    SELECT {shown}, CAST((SELECT greatest(1, ceil(count(*) / {size})) FROM {relation} WHERE {where})
+                         AS INTEGER) AS page_count
+    FROM (SELECT * FROM {relation} WHERE {where} ORDER BY {order} LIMIT {size} OFFSET {offset})"""
+
+
+def _products_page_sql(where, offset):
+    order = "event_datetime DESC, " + ", ".join(PRODUCT_TABLE_COLUMNS)
+    return _page_sql(PRODUCT_SHOWN, "ga_sold s", where, order, 20, offset)
 
 
 @query("products_page", with_(SOLD, _products_page_sql(_MATCHED, 40)))
@@ -582,32 +566,18 @@ def _(spark, folder):
 
 
 def _events_page_sql(order, where, size, offset):
-    return f"""
-    SELECT CAST(e.event_date AS VARCHAR) AS event_date,
-           strftime(e.event_datetime, '%H:%M:%S') AS event_datetime, e.event_name,
-           coalesce(e.country, '-') AS country, coalesce(e.device_type, '-') AS device_type,
-           coalesce(nullif(e.traffic_medium, ''), '(direct)') AS traffic_medium,
-           coalesce(nullif(e.traffic_source, ''), '-') AS traffic_source,
-           coalesce(nullif(e.campaign_name, ''), '-') AS campaign_name,
-           coalesce(e.transaction_id, '-') AS transaction_id,
-           round(coalesce(e.total_purchase_revenue, 0), 2) AS total_purchase_revenue,
-           CAST((SELECT greatest(1, ceil(count(*) / {size})) FROM ga_events WHERE {where})
-                AS INTEGER) AS page_count
-    FROM ga_events e WHERE {where}
-    ORDER BY {order} e.event_date, e.event_datetime, e.event_name, e.country, e.device_type,
-             e.traffic_medium, e.traffic_source, e.campaign_name, e.transaction_id,
-             e.total_purchase_revenue
-    LIMIT {size} OFFSET {offset}"""
-
-
-@query("events_page", with_(EVENTS, _events_page_sql("e.event_datetime DESC,", RECENT, 20, 20)))
+    order = ", ".join([order, *EVENT_TABLE_COLUMNS])
+    return _page_sql(EVENT_SHOWN, "ga_events", where, order, size, offset)
+
+
+@query("events_page", with_(EVENTS, _events_page_sql("event_datetime DESC", RECENT, 20, 20)))
 def _(spark, folder):
     return event_table.events_page(events(spark, folder, RECENT_DAYS), RECENT_DAYS, None, 1)
 
 
 @query("events_page_sorted", with_(EVENTS, _events_page_sql(
-    "coalesce(nullif(e.traffic_medium, ''), '(direct)') ASC, "
-    "strftime(e.event_datetime, '%H:%M:%S') DESC,", AUDIENCE, 50, 100)))
+    "coalesce(nullif(traffic_medium, ''), '(direct)') ASC, "
+    "strftime(event_datetime, '%H:%M:%S') DESC", AUDIENCE, 50, 100)))
 def _(spark, folder):
     asked = [{"column_id": "traffic_medium", "direction": "asc"},
              {"column_id": "event_id", "direction": "asc"},

@@ -3,7 +3,17 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded, shared_folder
-from checks.relations import EVENTS, NEWUSERS, PRODUCTS, RAW, draw, micros, with_
+from checks.relations import (
+    EVENT_SHOWN,
+    EVENTS,
+    NEWUSERS,
+    PRODUCT_SHOWN,
+    PRODUCTS,
+    RAW,
+    draw,
+    micros,
+    with_,
+)
 from webmetrics.functions import scalar as sc
 from webmetrics.operators.flatten import explode_items, flatten_events, prune
 from webmetrics.operators.measures import conversion_summary, purchase_summary
@@ -371,30 +381,12 @@ def _(spark, folder):
     return prune(sample.events(spark, folder), STORED_COLUMNS["events"])
 
 
-@query("event_display", with_(EVENTS, """
-    SELECT CAST(event_date AS VARCHAR) AS event_date,
-           strftime(event_datetime, '%H:%M:%S') AS event_datetime, event_name,
-           coalesce(country, '-') AS country, coalesce(device_type, '-') AS device_type,
-           coalesce(nullif(traffic_medium, ''), '(direct)') AS traffic_medium,
-           coalesce(nullif(traffic_source, ''), '-') AS traffic_source,
-           coalesce(nullif(campaign_name, ''), '-') AS campaign_name,
-           coalesce(transaction_id, '-') AS transaction_id,
-           round(coalesce(total_purchase_revenue, 0), 2) AS total_purchase_revenue
-    FROM ga_events"""))
+@query("event_display", with_(EVENTS, f"SELECT {EVENT_SHOWN} FROM ga_events"))
 def _(spark, folder):
     return display_events(sample.events(spark, folder))
 
 
-@query("product_display", with_(PRODUCTS, """
-    SELECT CAST(event_date AS VARCHAR) AS event_date, event_name,
-           coalesce(item_id, '-') AS item_id,
-           coalesce(nullif(item_name, ''), item_id) AS item_name,
-           coalesce(item_brand, '-') AS item_brand,
-           coalesce(nullif(item_category, ''), '(未分類)') AS item_category,
-           round(coalesce(item_price, 0), 2) AS item_price,
-           coalesce(item_quantity, 0) AS item_quantity,
-           round(coalesce(item_total_revenue, 0), 2) AS item_total_revenue
-    FROM ga_products"""))
+@query("product_display", with_(PRODUCTS, f"SELECT {PRODUCT_SHOWN} FROM ga_products"))
 def _(spark, folder):
     return display_products(sample.products(spark, folder))
 
