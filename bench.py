@@ -91,10 +91,10 @@ def report_queries(spark: SparkSession) -> dict:
 def main() -> None:
     spark = session()
     warm, cold = {}, {}
-    builds = [seconds(lambda: sink.build_warehouse(
-        spark, sample.events(spark, FOLDER), sample.products(spark, FOLDER),
-        sample.newusers(spark, FOLDER), sink.StoreLayout(rebalance=tuple(STORED_COLUMNS))))
-        for _ in range(1 + WARM_RUNS)]
+    frames = [make(spark, FOLDER) for make in (sample.events, sample.products, sample.newusers)]
+    layout = sink.StoreLayout(rebalance=tuple(STORED_COLUMNS))
+    builds = [seconds(lambda: sink.build_warehouse(spark, *frames, layout=layout))
+              for _ in range(1 + WARM_RUNS)]
     cold["build_warehouse"], warm["build_warehouse"] = builds[0], statistics.median(builds[1:])
     in_memory = [scan.materialize(spark.table(name)) for name in STORED_COLUMNS]
     rows = {name: df.count() for name, df in zip(STORED_COLUMNS, in_memory)}

@@ -277,8 +277,9 @@ def _(spark, folder):
     FROM ga_newusers"""))
 def _(spark, folder):
     layout = _layout(spark, "etl")
+    month = sink.previous_month_range("2024-02-01")
     result = run_etl(spark, sample.raw_events(spark, folder), f"{layout.location}/files",
-                     "20240101", "20240131", layout, tie_break=["event_id"])
+                     *month, layout, tie_break=["event_id"])
     return rounded(result.summary)
 
 
