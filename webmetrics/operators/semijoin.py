@@ -62,7 +62,7 @@ def filter_products_by_events(products: DataFrame, events: DataFrame | None,
     if not _needs_events(spec, events):
         return bought
     keys = matching_keys(bought, events, spec, "event_date").select(*EVENT_KEY)
-    return bought.join(keys, EVENT_KEY, "left_semi")
+    return bought.join(keys, EVENT_KEY, "left_semi").select(*products.columns)
 
 
 def _summed(bought: DataFrame, events: DataFrame, spec: FilterSpec, by: Sequence[Column],

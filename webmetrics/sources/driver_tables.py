@@ -83,6 +83,7 @@ def _nest(stream: DataFrame, geography: DataFrame, items: Column) -> DataFrame:
     bought = ~F.col("twin") & (F.col("event_type") == "purchase")
     located = eid % 11 != 0
     day = F.date_format("ts", "yyyyMMdd")
+    seventh, sixth, fifth, fourth = eid % 7, user % 6, user % 5, user % 4
     values = {
         "event_date": day,
         "event_timestamp": F.unix_micros(F.col("ts").cast("timestamp")),
@@ -90,17 +91,18 @@ def _nest(stream: DataFrame, geography: DataFrame, items: Column) -> DataFrame:
         "user_pseudo_id": F.concat_ws(".", user.cast("string"), (eid % 20).cast("string")),
         "geo": _record(types["geo"], country=F.when(located, F.col("n_name")),
                        continent=F.when(located, F.col("r_name"))),
-        "device": _record(types["device"], category=(
-            F.when(eid % 7 == 0, _null(types["event_name"])).when(eid % 7 == 1, "tablet")
-            .when(eid % 7 <= 3, "mobile").otherwise("desktop"))),
+        "device": _record(
+            types["device"],
+            category=F.when(seventh == 1, "tablet").when(seventh.isin(2, 3), "mobile")
+            .when(seventh > 3, "desktop")),
         "traffic_source": _record(
             types["traffic_source"],
-            medium=F.when(user % 6 == 0, _null(types["event_name"])).when(user % 6 == 1, "")
-            .when(user % 6 == 2, "cpc").when(user % 6 == 3, "referral").otherwise("organic"),
-            source=F.when(user % 5 == 0, _null(types["event_name"])).when(user % 5 == 1, "")
-            .when(user % 5 == 2, "Google").otherwise("shop.example"),
-            name=F.when(user % 4 == 0, "(organic)").when(user % 4 == 1, "(referral)")
-            .when(user % 4 == 2, "")),
+            medium=F.when(sixth == 1, "").when(sixth == 2, "cpc").when(sixth == 3, "referral")
+            .when(sixth > 3, "organic"),
+            source=F.when(fifth == 1, "").when(fifth == 2, "Google")
+            .when(fifth > 2, "shop.example"),
+            name=F.when(fourth == 0, "(organic)").when(fourth == 1, "(referral)")
+            .when(fourth == 2, "")),
         "ecommerce": _record(
             types["ecommerce"],
             purchase_revenue_in_usd=F.when(bought, F.col("value")),
