@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, packing
+from . import decontamination, exact_dedup, language_id, packing, quality, secrets, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,15 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return function
 
 
+def _written(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -59,3 +68,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 4) == 2
     model = language_id.fit(docs, ~held_out)
     return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
+@_query
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["layers"] == "")
+    counts = [_count(base, kind) for kind in secrets.KINDS]
+    added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), added)
+
+
+@_query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs, labels, ~held_out)
+    return toxicity.score(docs, model).withColumn("held_out", held_out)
