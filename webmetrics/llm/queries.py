@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, packing, quality, secrets, toxicity
+from . import decontamination, exact_dedup, language_id, ngram_join, packing, quality, secrets, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 3) == 1
     model = toxicity.fit(docs, labels, ~held_out)
     return toxicity.score(docs, model).withColumn("held_out", held_out)
+
+
+@_query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"))

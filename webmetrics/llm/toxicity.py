@@ -27,8 +27,8 @@ LEXICON_SHARE = 0.75
 #: Bytes of the beginnings of words that may be learnt.
 STEMS = (4, 5, 6, 7, 8)
 #: A learnt stem occurs in so many toxic texts at least, and so many of its texts are toxic.
-LEAST_TOXIC = 4
-LEAST_PRECISION = 0.9
+LEAST_TOXIC = 6
+LEAST_PRECISION = 0.85
 THRESHOLD = 0.7
 
 # Words of each class.
