@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, ngram_join, packing, quality, secrets, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,52 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op2_line_dedup"] = r"""
+WITH broken AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS bodies FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+),
+line AS (
+  SELECT doc_id, unnest(bodies) AS body, unnest(range(len(bodies))) AS line FROM broken
+),
+bag AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(lower(body), '[\x20\x09\x0B-\x0D]+'), lambda w: w <> ''))) AS words
+  FROM line
+),
+sets AS (
+  SELECT words, len(words) AS n, min((doc_id, line)) AS place FROM bag WHERE len(words) >= 5 GROUP BY words
+),
+word AS (SELECT place, n, unnest(words) AS w FROM sets),
+freq AS (SELECT w, count(*) AS f FROM word GROUP BY w),
+rare AS (
+  SELECT place, n, w FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY f, w) AS r FROM word JOIN freq USING (w))
+  WHERE r <= n - (80 * n + 99) // 100 + 1
+),
+pair AS (
+  SELECT DISTINCT a.place AS a, b.place AS b FROM rare a JOIN rare b ON a.w = b.w AND a.place < b.place
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+),
+alike AS (
+  SELECT words FROM (
+    SELECT y.words, x.n + y.n AS n, len(list_intersect(x.words, y.words)) AS shared
+    FROM pair p JOIN sets x ON p.a = x.place JOIN sets y ON p.b = y.place
+  ) WHERE 100 * shared >= 80 * (n - shared)
+),
+gone AS (
+  SELECT b.doc_id, b.line FROM bag b JOIN sets s ON b.words = s.words
+  WHERE (b.doc_id, b.line) <> s.place OR b.words IN (SELECT words FROM alike)
+),
+rest AS (
+  SELECT l.doc_id, string_agg(l.body, chr(10) ORDER BY l.line) FILTER (g.line IS NULL) AS text, count(g.line) AS removed
+  FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN r.removed > 0 THEN coalesce(r.text, '') ELSE d.text END AS text,
+       CAST(coalesce(r.removed, 0) AS INTEGER) AS removed_lines
+FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id
+"""
