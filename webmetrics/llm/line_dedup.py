@@ -1,8 +1,8 @@
 """Line duplicates by an exact set-similarity join, in DataFrame functions only.
 
 Lines are sets of words. Words are ordered from rare to common; two sets that are alike enough share a word among
-the first few of each, so only those few are joined. Length, positions and a parity sketch thin the pairs, the
-words themselves decide, and of two lines that are alike the later one goes.
+the first few of each, long ones several, so only those few are joined. Length, positions and a parity sketch thin
+the pairs, the words themselves decide, and of two lines that are alike the later one goes.
 """
 
 from __future__ import annotations
@@ -15,24 +15,21 @@ from .common import cut
 PERCENT = 80
 #: Lines with fewer different words, such as headings, are left alone.
 LEAST_WORDS = 5
-#: Counters of word frequency, sixteen to a long, whatever the vocabulary is.
+#: Counters of word frequency, whatever the vocabulary is.
 COUNTERS = 1 << 19
 #: Longs of a membership filter that thins rows before a join.
 FILTER_LONGS = 1 << 16
 
+#: Of a set's rarest words so many, and frequent from so many doublings on, look for large groups of near copies.
+LEADING, FREQUENT = 6, 6
+
 _BLANKS = r"[\x20\x09\x0B-\x0D]+"  # white space within a line
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _table(rows: DataFrame, size: int) -> Column:
-    """An array of `size` longs from rows (k, v), 0 where there is none, as a constant.
-
-    `size` is fixed, and that many numbers at most reach the driver.
-    """
-    values = ["0"] * size
-    for row in rows.collect():
-        values[row["k"]] = str(row["v"])
-    return F.split(F.lit(",".join(values)), ",").cast("array<bigint>")  # folded once, by the optimizer
+def _constant(values: list[int]) -> Column:
+    """An array of longs that the optimizer folds once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -44,9 +41,13 @@ def _right(value: Column, by: Column) -> Column:
 
 
 def _bits(keys: DataFrame, key: Column) -> Column:
+    """A membership filter of `keys`; `FILTER_LONGS` numbers at most reach the driver."""
     bit = F.pmod(key, F.lit(FILTER_LONGS * 64))
     longs = keys.select(F.shiftright(bit, 6).alias("k"), _left(F.lit(1).cast("long"), bit % 64).alias("v"))
-    return _table(longs.groupBy("k").agg(F.bit_or("v").alias("v")), FILTER_LONGS)
+    values = [0] * FILTER_LONGS
+    for row in longs.groupBy("k").agg(F.bit_or("v").alias("v")).collect():
+        values[row["k"]] = row["v"]
+    return _constant(values)
 
 
 def _passes(bits: Column, key: Column) -> Column:
@@ -60,7 +61,11 @@ def _levels(texts: DataFrame) -> Column:
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("c")).count()
     level = F.least(F.floor(F.log2("count")), F.lit(15).cast("long"))
     packed = counts.select(F.shiftright("c", 4).alias("k"), _left(level, F.col("c") % 16 * 4).alias("v"))
-    return _table(packed.groupBy("k").agg(F.bit_or("v").alias("v")), COUNTERS // 16)
+    values = [0] * COUNTERS
+    for row in packed.groupBy("k").agg(F.bit_or("v").alias("v")).collect():  # COUNTERS / 16 rows at most
+        for place in range(16):
+            values[row["k"] * 16 + place] = row["v"] >> (4 * place) & 15
+    return _constant(values)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -77,22 +82,28 @@ def _at_least(numerator: int, denominator: int, n: Column) -> Column:
     return F.floor((n * numerator + denominator - 1) / denominator).cast("int")
 
 
-def _key(word: Column, levels: Column) -> Column:
-    """A word's place in the order: frequency level, then hash."""
-    hashed = F.xxhash64(word)
-    counter = F.pmod(hashed, F.lit(COUNTERS))
-    packed = F.get(levels, F.shiftright(counter, 4).cast("int"))
-    level = _right(packed, counter % 16 * 4).bitwiseAND(F.lit(15).cast("long"))
-    return F.coalesce(F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8)), F.lit(0).cast("long"))
+def _keys(words: Column, levels: Column) -> Column:
+    """Words' places in the order, from the first on: frequency level, then hash."""
+    mask = F.lit(COUNTERS - 1).cast("long")
+
+    def key(hashed: Column) -> Column:
+        return F.shiftleft(F.get(levels, hashed.bitwiseAND(mask).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
+
+
+def _common(n: Column) -> Column:
+    """How many of their first words two sets must share, if the shorter one has `n` words; their beginnings grow with it."""
+    return F.shiftright(n, 5) + 1
 
 
 def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """(doc_id, line, n, k1, k2, sketch, start): each line's set by a 128-bit key, and its first words."""
     levels = _levels(docs)
-    keys = F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), lambda w: _key(w, levels))))
+    keys = _keys(_words(F.col("body")), levels)
     rows = _lines(docs).select("doc_id", "line", keys.alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least)
     flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key % 64))
-    start = F.slice("keys", 1, F.col("n") - _at_least(percent, 100, F.col("n")) + 1)
+    start = F.slice("keys", 1, F.col("n") - _at_least(percent, 100, F.col("n")) + _common(F.col("n")))
     return rows.select(
         "doc_id",
         "line",
@@ -100,30 +111,49 @@ def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
         F.xxhash64("keys").alias("k1"),
         F.xxhash64(F.lit(1), "keys").alias("k2"),
         F.aggregate("keys", F.lit(0).cast("long"), flip).alias("sketch"),
-        F.transform(start, lambda key: key % (1 << 32)).alias("start"),
+        # Level and 32 bits of the hash: words that fall together only give pairs that the words themselves refute.
+        F.transform(start, lambda key: F.shiftright(key, 56) * (1 << 32) + key % (1 << 32)).alias("start"),
     )
 
 
+def _pair(left: Column, right: Column) -> list[Column]:
+    return [left["doc"].alias("a_doc"), left["line"].alias("a_line"), right["doc"].alias("b_doc"), right["line"].alias("b_line")]
+
+
+def _starred(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first line of a set and the first of all lines that share a frequent word with it.
+
+    Only words that are among a set's rarest and frequent all the same count: lines of large groups of near copies
+    have such. Most of these go by this comparison with one line each.
+    """
+    entries = first.select(F.posexplode(F.slice("start", 1, LEADING)).alias("at", "token"), "doc", "line")
+    entries = entries.where(F.shiftright("token", 32) >= FREQUENT)
+    leaders = entries.groupBy("token").agg(F.min(F.struct("doc", "line")).alias("a"))
+    own = F.struct("doc", "line")
+    return entries.join(leaders, "token").where(F.col("a") < own).select(*_pair(F.col("a"), own)).distinct()
+
+
 def _alike(first: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a_doc, a_line, b_doc, b_line), a before b, of the first lines of all sets."""
-    entries = first.select(F.posexplode("start").alias("at", "token"), "doc", "line", "n", "sketch")
+    """Candidate pairs (a, b), a before b and b open still, of the first lines of all sets."""
+    entries = first.select(F.posexplode("start").alias("at", "token"), "doc", "line", "n", "sketch", "open")
     x, y = entries.alias("x"), entries.alias("y")
     n = F.col("x.n") + F.col("y.n")
-    indexed = F.col("x.n") - _at_least(2 * percent, 100 + percent, F.col("x.n")) + 1 - F.col("x.at")
-    shorter = F.struct("x.n", "x.doc", "x.line") < F.struct("y.n", "y.doc", "y.line")
+    indexed = F.col("x.n") - _at_least(2 * percent, 100 + percent, F.col("x.n")) + _common(F.col("x.n")) - F.col("x.at")
+    left, right = F.struct("x.doc", "x.line"), F.struct("y.doc", "y.line")
     before, after = F.least("x.at", "y.at"), F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     joined = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.least(indexed, F.col("y.n")) > 0)  # names both sides, so that they stay one shuffle
-        & shorter
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (left < right)))
         & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+        & F.when(left < right, F.col("y.open")).otherwise(F.col("x.open"))
         & ((before + after) * (100 + percent) >= n * percent)
         & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (100 + percent) <= n * (100 - percent)),
     )
-    left, right = F.struct("x.doc", "x.line"), F.struct("y.doc", "y.line")
-    pair = joined.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
-    return pair.select(F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), F.col("b.doc").alias("b_doc"), F.col("b.line").alias("b_line")).distinct()
+    pair = joined.select(*_pair(F.least(left, right), F.greatest(left, right)), _common(F.col("x.n")).alias("common"))
+    shared = pair.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").count()
+    return shared.where("count >= common").drop("common", "count")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -131,7 +161,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))).alias("e"))
     bits = _bits(ends.select("e.*"), F.xxhash64("doc", "line"))
     lines = _lines(docs).where(_passes(bits, F.xxhash64("doc_id", "line")))
-    lines = lines.select("doc_id", "line", F.array_distinct(_words(F.col("body"))).alias("words")).dropDuplicates(["doc_id", "line"])
+    lines = lines.select("doc_id", "line", F.array_distinct(_words(F.col("body"))).alias("words"))
     a = lines.select(F.col("doc_id").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
     b = lines.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
     both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
@@ -146,8 +176,10 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
     place = F.min(F.struct("doc_id", "line")).alias("p")
     first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
     first = first.select("k1", "k2", F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start")
-    pairs = cut(_alike(first, percent))
-    later = cut(_verified(docs, pairs, percent))
+    later = cut(_verified(docs, cut(_starred(first)), percent))
+    closed = later.withColumn("closed", F.lit(True))
+    first = first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull())
+    later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
     places = sets.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
     places = places.join(later.select("doc", F.col("line").alias("first_line"), F.lit(True).alias("gone")), ["doc", "first_line"], "left")
     lines = sets.select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"])
