@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,12 @@ SELECT d.doc_id, CASE WHEN r.removed > 0 THEN coalesce(r.text, '') ELSE d.text E
        CAST(coalesce(r.removed, 0) AS INTEGER) AS removed_lines
 FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id
 """
+
+
+@_query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    terms = F.transform("terms", lambda s: F.struct(F.lit(pii.TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    counts = [_count(base, kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.concat(base, terms)).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
