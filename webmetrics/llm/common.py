@@ -20,6 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(id_column: str | Column, divisor: int) -> Column:
     """crc32 of an id written as text, modulo `divisor`; a null id counts as empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

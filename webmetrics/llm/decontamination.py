@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, cut, filter_bit, member_bits
+from .common import FILTER_BITS, cut, filter_bit, free_name, member_bits
 from .textcore import ALNUM, Texts, Words, runs_of, slices, words
 
 #: Fixed masks, 1 = the word counts. Of any 13 words with 2 replaced, of any 12 or 11 with 1 replaced, at least
@@ -180,5 +180,6 @@ def _passing(bits: bytes):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options: object) -> DataFrame:
     """`docs`, all columns, without the documents that repeat a benchmark item; null ids stay."""
-    hits = contaminated(docs, benchmark, id_column, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(cut(hits), F.col(id_column) == F.col("_hit"), "left_anti")
+    hit = free_name(docs, "_hit")
+    hits = contaminated(docs, benchmark, id_column, **options).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(cut(hits), F.col(id_column) == F.col(hit), "left_anti")

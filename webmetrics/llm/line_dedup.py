@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 PERCENT = 80
 #: Lines with fewer different words, such as headings, are left alone.
@@ -206,17 +206,18 @@ def dedup_lines(
     column named `removed_column` is replaced; others, whatever their names, stay.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    gone = repeated_lines(texts, percent, least).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
-    gone = cut(gone.withColumnRenamed("doc_id", "_doc_id"))
-    bits = _bits(gone, F.xxhash64("_doc_id"))
+    key, lost = free_name(docs, "_doc_id"), free_name(docs, "_gone")
+    gone = repeated_lines(texts, percent, least).groupBy("doc_id").agg(F.collect_list("line").alias(lost))
+    gone = cut(gone.withColumnRenamed("doc_id", key))
+    bits = _bits(gone, F.xxhash64(key))
     hit = F.coalesce(_passes(bits, F.xxhash64(F.col(id_column).cast("long"))), F.lit(False)) & F.col(id_column).isNotNull()
     names = [c for c in docs.columns if c != removed_column]
     same = docs.where(~hit).select(*names, F.lit(0).alias(removed_column))
     lines = F.split(text_column, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
     text = F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(text)
-    changed = docs.where(hit).join(gone, F.col(id_column).cast("long") == F.col("_doc_id"), "left")
-    size = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
+    text = F.when(F.col(lost).isNull(), F.col(text_column)).otherwise(text)
+    changed = docs.where(hit).join(gone, F.col(id_column).cast("long") == F.col(key), "left")
+    size = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost))
     changed = changed.select(*(text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names), size.alias(removed_column))
     return same.unionByName(changed)

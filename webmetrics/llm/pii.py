@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 # Kinds in their order and their patterns. Parts that cannot match otherwise are possessive, and runs
 # start where they begin or the last match ended, so that long runs of one kind of character cost no more than others.
@@ -163,7 +163,8 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = find_pii(docs, id_column, text_column, **options).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     tagged = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag")))
     words = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[WORD]").alias("tag")))
-    found = found.select(F.col("doc_id").alias("_doc_id"), F.sort_array(F.concat(tagged, words)).alias("_spans"))
+    key, spans = free_name(docs, "_doc_id"), free_name(docs, "_spans")
+    found = found.select(F.col("doc_id").alias(key), F.sort_array(F.concat(tagged, words)).alias(spans))
     text = F.col(text_column)
 
     def put(acc: Column, s: Column) -> Column:
@@ -172,7 +173,7 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         return F.when(s["start"] < acc["at"], acc).otherwise(new)
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, put, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    clean = F.when(F.col("_spans").isNull() | (F.size("_spans") == 0), text).otherwise(clean)
-    joined = docs.join(found, F.col(id_column).cast("long") == F.col("_doc_id"), "left")
+    clean = F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    clean = F.when(F.col(spans).isNull() | (F.size(spans) == 0), text).otherwise(clean)
+    joined = docs.join(found, F.col(id_column).cast("long") == F.col(key), "left")
     return joined.select(*(clean.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns))
