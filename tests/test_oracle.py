@@ -2,7 +2,8 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from checks import ORACLE, QUERIES
 from tests.oracle import DATA, connect, spark_rows, sql_rows
 
 FOLDER = f"{DATA}/sf0.01"
@@ -15,11 +16,11 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
-    expected = oracle_sql().get(name)
+    expected = ORACLE.get(name)
     assert expected, f"{name} has no SQL"
-    df = queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|CartesianProduct|NestedLoop", plan)
     names, rows = spark_rows(df)
