@@ -22,6 +22,8 @@ FILTER_LONGS = 1 << 16
 
 #: Of a set's rarest words so many, and frequent from so many doublings on, look for large groups of near copies.
 LEADING, FREQUENT = 6, 6
+#: Beyond so many words a sketch of 64 bits tells sets apart poorly; such lines wait for the full join.
+SKETCHED = 128
 
 _BLANKS = r"[\x20\x09\x0B-\x0D]+"  # white space within a line
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -120,17 +122,24 @@ def _pair(left: Column, right: Column) -> list[Column]:
     return [left["doc"].alias("a_doc"), left["line"].alias("a_line"), right["doc"].alias("b_doc"), right["line"].alias("b_line")]
 
 
-def _starred(first: DataFrame) -> DataFrame:
+def _close(n: Column, m: Column, sketch: Column, other: Column, percent: int) -> Column:
+    """Whether sizes and sketches allow two sets to be alike enough."""
+    apart = F.bit_count(sketch.bitwiseXOR(other)) * (100 + percent) <= (n + m) * (100 - percent)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & apart
+
+
+def _starred(first: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the first line of a set and the first of all lines that share a frequent word with it.
 
     Only words that are among a set's rarest and frequent all the same count: lines of large groups of near copies
     have such. Most of these go by this comparison with one line each.
     """
-    entries = first.select(F.posexplode(F.slice("start", 1, LEADING)).alias("at", "token"), "doc", "line")
+    entries = first.where(F.col("n") < SKETCHED).select(F.posexplode(F.slice("start", 1, LEADING)).alias("at", "token"), "doc", "line", "n", "sketch")
     entries = entries.where(F.shiftright("token", 32) >= FREQUENT)
-    leaders = entries.groupBy("token").agg(F.min(F.struct("doc", "line")).alias("a"))
-    own = F.struct("doc", "line")
-    return entries.join(leaders, "token").where(F.col("a") < own).select(*_pair(F.col("a"), own)).distinct()
+    leaders = entries.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "sketch")).alias("a"))
+    joined = entries.join(leaders, "token").where(_close(F.col("a.n"), F.col("n"), F.col("a.sketch"), F.col("sketch"), percent))
+    own, leader = F.struct("doc", "line"), F.struct("a.doc", "a.line")
+    return joined.where(leader < own).select(*_pair(leader, own)).distinct()
 
 
 def _alike(first: DataFrame, percent: int) -> DataFrame:
@@ -146,10 +155,9 @@ def _alike(first: DataFrame, percent: int) -> DataFrame:
         (F.col("x.token") == F.col("y.token"))
         & (F.least(indexed, F.col("y.n")) > 0)  # names both sides, so that they stay one shuffle
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (left < right)))
-        & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+        & _close(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
         & F.when(left < right, F.col("y.open")).otherwise(F.col("x.open"))
-        & ((before + after) * (100 + percent) >= n * percent)
-        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (100 + percent) <= n * (100 - percent)),
+        & ((before + after) * (100 + percent) >= n * percent),
     )
     pair = joined.select(*_pair(F.least(left, right), F.greatest(left, right)), _common(F.col("x.n")).alias("common"))
     shared = pair.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").count()
@@ -176,7 +184,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
     place = F.min(F.struct("doc_id", "line")).alias("p")
     first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
     first = first.select("k1", "k2", F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start")
-    later = cut(_verified(docs, cut(_starred(first)), percent))
+    later = cut(_verified(docs, cut(_starred(first, percent)), percent))
     closed = later.withColumn("closed", F.lit(True))
     first = first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull())
     later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
