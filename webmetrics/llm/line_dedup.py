@@ -113,8 +113,8 @@ def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
         F.xxhash64("keys").alias("k1"),
         F.xxhash64(F.lit(1), "keys").alias("k2"),
         F.aggregate("keys", F.lit(0).cast("long"), flip).alias("sketch"),
-        # Level and 32 bits of the hash: words that fall together only give pairs that the words themselves refute.
-        F.transform(start, lambda key: F.shiftright(key, 56) * (1 << 32) + key % (1 << 32)).alias("start"),
+        # Level and 28 bits of the hash: words that fall together only give pairs that the words themselves refute.
+        F.transform(start, lambda key: (F.shiftright(key, 56) * (1 << 28) + key % (1 << 28) - (1 << 31)).cast("int")).alias("start"),
     )
 
 
@@ -135,7 +135,7 @@ def _starred(first: DataFrame, percent: int) -> DataFrame:
     have such. Most of these go by this comparison with one line each.
     """
     entries = first.where(F.col("n") < SKETCHED).select(F.posexplode(F.slice("start", 1, LEADING)).alias("at", "token"), "doc", "line", "n", "sketch")
-    entries = entries.where(F.shiftright("token", 32) >= FREQUENT)
+    entries = entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= FREQUENT)
     leaders = entries.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "sketch")).alias("a"))
     joined = entries.join(leaders, "token").where(_close(F.col("a.n"), F.col("n"), F.col("a.sketch"), F.col("sketch"), percent))
     own, leader = F.struct("doc", "line"), F.struct("a.doc", "a.line")
