@@ -13,8 +13,13 @@ _BLOCK = 32768  # bits of one of Spark's bitmaps
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
+    """`df` computed once and kept in the shared checkpoint folder, so that lost executors cost nothing.
+
+    Spark deletes the shuffle files of frames that are gone when the driver collects its garbage, which a driver with
+    little to do seldom does. So it is asked to here: what came before an earlier cut then frees its disk.
+    """
     context = df.sparkSession.sparkContext
+    context._jvm.System.gc()
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))  # local sessions only, such as tests
     return df.checkpoint()
