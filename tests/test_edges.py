@@ -458,3 +458,24 @@ def test_default_range_is_clipped(spark):
         "min_date": day(5), "max_date": day(8), "default_start": day(5), "default_end": day(8)}
     longer = frames.events(spark, {"event_date": day(1)}, {"event_date": date(2024, 3, 1)})
     assert only(measures.date_bounds(longer))["default_start"] == date(2024, 2, 1)
+
+
+def test_cursor_is_the_same_in_any_driver_zone(spark, monkeypatch):
+    """A zone whose clocks change on the day must not skip or repeat rows."""
+    import time
+    times = [f"2020-11-01 {h:02d}:{m:02d}:00" for h in range(4, 8) for m in (0, 15, 30, 45)]
+    rows = spark.createDataFrame([(t,) for t in times], "t string")
+    columns = frames.events(spark, {}).drop("event_datetime")
+    df = columns.crossJoin(rows.select(F.to_timestamp("t").alias("event_datetime"))).cache()
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        shown, cursor = [], None
+        while page := event_table.events_page_after(df, ALL, cursor, None, 3).collect():
+            shown += [r["event_datetime"] for r in page]
+            cursor = ordering.Cursor.after([r.sort_values for r in page], cursor)
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert shown == [t[11:] for t in reversed(times)]
+    df.unpersist()

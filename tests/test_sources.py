@@ -1,7 +1,7 @@
 """Readers and writers on real files."""
 
 from collections import Counter
-from datetime import date
+from datetime import date, datetime, timezone
 
 import pyarrow.parquet as pq
 import pytest
@@ -284,3 +284,35 @@ def test_purchases_are_spread_evenly(spark):
 def test_years_restart_in_every_chunk(spark):
     rows = gen_purchases(spark, 20, chunk=10).orderBy("purchase_id")
     assert column(rows, "year") == [2020 + (i % 10) % 7 for i in range(20)]
+
+
+def _visit(shard, day, user, name="first_visit"):
+    """A record delivered in ``shard`` that happened on ``day``."""
+    micros = int(datetime(int(day[:4]), int(day[4:6]), int(day[6:]), tzinfo=timezone.utc).timestamp() * 1e6)
+    return {"table_suffix": shard, "event_date": day, "event_timestamp": micros,
+            "event_name": name, "user_pseudo_id": user, "items": []}
+
+
+def test_reloaded_shards_replace_shards_not_days(spark, database, tmp_path):
+    schema = StructType([*RAW_EVENT_SCHEMA.fields])
+    if "table_suffix" not in schema.names:
+        schema = schema.add("table_suffix", "string")
+    january = [_visit("20210131", "20210131", "a"), _visit("20210131", "20210131", "b")]
+    february = [_visit("20210201", "20210201", "a"), _visit("20210201", "20210201", "a", "purchase"),
+                _visit("20210202", "20210202", "c"), _visit("20210201", "20210131", "late", "scroll")]
+    out, layout = str(tmp_path / "files"), sink.StoreLayout(database=database)
+
+    def load(records, start, end):
+        raw = spark.createDataFrame(records, schema)
+        return run_etl(spark, raw, out, start, end, layout, replace="partitions")
+
+    load(january, "20210101", "20210131")
+    done = load(january + february, "20210201", "20210228")
+    assert done.rows["events"] == 4
+    stored = spark.read.parquet(f"{out}/events").where("event_date = '2021-01-31'")
+    assert sorted(r["user_pseudo_id"] for r in stored.collect()) == ["a", "b", "late"]
+    people = [(r["user_pseudo_id"], r["did_purchase"])
+              for r in spark.read.parquet(f"{out}/newusers").collect()]
+    assert sorted(people) == [("a", True), ("b", False), ("c", False)]
+    load(january + [r for r in february if r["table_suffix"] != "20210202"], "20210201", "20210228")
+    assert spark.table(f"{database}.events").count() == 5  # the emptied shard is gone

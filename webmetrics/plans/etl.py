@@ -12,7 +12,7 @@ from webmetrics.operators.measures import conversion_summary
 from webmetrics.operators.newusers import build_new_users
 from webmetrics.schema import DEFAULT_DAY
 from webmetrics.sources.scan import in_shards, read_table_path
-from webmetrics.sources.sink import StoreLayout, build_warehouse, extract
+from webmetrics.sources.sink import StoreLayout, build_warehouse, drop_partitions, extract
 
 
 @dataclass(frozen=True)
@@ -27,24 +27,29 @@ def run_etl(spark: SparkSession, raw: DataFrame, out: str, start: str = DEFAULT_
             tie_break: Sequence[str] = (), replace: str = "all") -> EtlResult:
     """Extract the three tables for a range of day shards, then build the report tables.
 
-    Files under ``out`` are split by day. ``replace='partitions'`` reloads only the days in
-    the range for events and products; new users are then built from ``raw`` of that range,
-    so give the whole history when conversion across months matters.
+    Events and products are stored by shard, the unit of delivery: an event dated another day
+    than its shard is replaced with its shard and no other. ``replace='partitions'`` replaces
+    exactly the shards of the range, those that are empty now included. New users are then
+    built from all shards of ``raw``, so hand in the whole history: first visits and purchases
+    of one person may lie in different months. Other days' events are not read again.
     """
     shards = in_shards(raw, start, end)
+    history = raw if replace == "partitions" else shards
     frames = {
-        "events": (flatten_events(shards), "event_date"),
-        "products": (explode_items(shards), "event_date"),
-        "newusers": (build_new_users(shards, tie_break), "first_visit_date"),
-    }
-    rows = {
-        name: extract(name, df, f"{out}/{name}", partition_by=(day,), replace=replace,
-                      rebalance=name in layout.rebalance)
-        for name, (df, day) in frames.items()
+        "events": (flatten_events(shards, keep=("table_suffix",)), "table_suffix", replace),
+        "products": (explode_items(shards, keep=("table_suffix",)), "table_suffix", replace),
+        "newusers": (build_new_users(history, tie_break), "first_visit_date", "all"),
     }
+    rows = {}
+    for name, (df, part, how) in frames.items():
+        rows[name] = extract(name, df, f"{out}/{name}", partition_by=(part,), replace=how,
+                             rebalance=name in layout.rebalance)
+        if how == "partitions":
+            delivered = {r[0] for r in df.select(part).distinct().collect()}  # days at most
+            drop_partitions(spark, f"{out}/{name}", part, start, end or start, delivered)
     stored = {
-        name: read_table_path(spark, f"{out}/{name}", df.schema)
-        for name, (df, _) in frames.items()
+        name: read_table_path(spark, f"{out}/{name}", df.schema).drop("table_suffix")
+        for name, (df, _, _) in frames.items()
     }
     tables = build_warehouse(spark, **stored, layout=layout)
     return EtlResult(rows, tables, conversion_summary(stored["newusers"]))

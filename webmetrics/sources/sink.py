@@ -66,6 +66,19 @@ def _parquet_writer(df: DataFrame, rows_per_group: int, rows_per_file: int | Non
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, low: str, high: str,
+                    keep: set[str]) -> None:
+    """Remove folders ``column=value`` under ``path`` with low <= value <= high, but for ``keep``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    for status in files.listStatus(root):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == column and low <= value <= high and value not in keep:
+            files.delete(status.getPath(), True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
