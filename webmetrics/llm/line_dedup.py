@@ -183,14 +183,16 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
     sets = cut(_sets(docs, percent, least))
     place = F.min(F.struct("doc_id", "line")).alias("p")
     first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
-    first = first.select("k1", "k2", F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start")
+    first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start"))
+    lines = cut(sets.select("doc_id", "line", "k1", "k2"))
+    del sets  # its beginnings of sets are the largest part of what is kept
     later = cut(_verified(docs, cut(_starred(first, percent)), percent))
     closed = later.withColumn("closed", F.lit(True))
     first = first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull())
     later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
-    places = sets.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
+    places = lines.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
     places = places.join(later.select("doc", F.col("line").alias("first_line"), F.lit(True).alias("gone")), ["doc", "first_line"], "left")
-    lines = sets.select("doc_id", "line", "k1", "k2").join(places, ["k1", "k2"])
+    lines = lines.join(places, ["k1", "k2"])
     gone = F.col("gone").isNotNull() | (F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("first_line"))
     return lines.where(gone).select("doc_id", "line").distinct()
 
