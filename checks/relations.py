@@ -1,5 +1,27 @@
 """SQL for the sample records: the rules of FIXTURES.md as common table expressions."""
 
+
+def _numbered(key: str, *columns: tuple[str, str, int]) -> str:
+    """Texts that the records number: (column, field of the record, numbers below)."""
+    return ",\n           ".join(
+        f"CASE WHEN {key} % 8 <> 0 THEN concat('{field}_', {key} % {below}) END AS {column}"
+        for column, field, below in columns)
+
+
+_EVENT_EXTRA = _numbered(
+    "s.item_key", ("region", "region", 5), ("city", "city", 12), ("sub_continent", "sub_continent", 4),
+    ("metro_area", "metro", 9), ("os", "operating_system", 3), ("os_version", "operating_system_version", 6),
+    ("browser", "browser", 3), ("browser_version", "browser_version", 7), ("device_language", "language", 5),
+    ("mobile_brand", "mobile_brand_name", 4), ("mobile_model", "mobile_model_name", 10))
+_ITEM_EXTRA = _numbered(
+    "p.p_partkey", ("item_variant", "item_variant", 6), ("item_category2", "item_category2", 5),
+    ("item_category3", "item_category3", 4), ("item_category4", "item_category4", 3),
+    ("item_category5", "item_category5", 2), ("item_coupon_code", "coupon", 7),
+    ("store_affiliation", "affiliation", 9), ("location_id", "location_id", 11))
+_EXTRA = ("region, city, sub_continent, metro_area, os, os_version, browser, browser_version, device_language, "
+          "mobile_brand, mobile_model, event_value_in_usd, event_previous_timestamp, user_first_touch_timestamp, "
+          "total_items_count, unique_items_count")
+
 # One row per event of the stream and per twin.
 _STREAM = """
 ga_stream AS (
@@ -10,7 +32,7 @@ ga_stream AS (
     FROM events WHERE event_id % 3 = 0
 )"""
 
-RAW = _STREAM + """,
+RAW = _STREAM + f""",
 ga_raw AS (
     SELECT s.event_id, s.item_key, s.twin,
            strftime(s.ts, '%Y%m%d') AS table_suffix,
@@ -35,23 +57,28 @@ ga_raw AS (
                 CASE WHEN s.item_key % 13 = 0 THEN '(not set)'
                      ELSE CAST(s.item_key % 5000 AS VARCHAR) END END AS transaction_id,
            CASE WHEN NOT s.twin AND s.event_type = 'purchase' THEN s.value END
-               AS total_purchase_revenue
+               AS total_purchase_revenue,
+           {_EVENT_EXTRA},
+           s.value / 2 AS event_value_in_usd,
+           epoch_us(s.ts) - 1000000 * (s.item_key % 60) AS event_previous_timestamp,
+           epoch_us(s.ts) - 86400000000 * (s.user_id % 30) AS user_first_touch_timestamp,
+           s.item_key % 9 AS total_items_count, s.item_key % 4 AS unique_items_count
     FROM ga_stream s
     LEFT JOIN nation n ON n.n_nationkey = s.user_id % 25
     LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
 )"""
 
-EVENTS = RAW + """,
+EVENTS = RAW + f""",
 ga_events AS (
     SELECT event_id, item_key, twin, table_suffix,
            CAST(strptime(event_date, '%Y%m%d') AS DATE) AS event_date,
            make_timestamp(event_timestamp) AS event_datetime,
            event_name, user_pseudo_id, country, continent, device_type, traffic_medium,
-           traffic_source, campaign_name, transaction_id, total_purchase_revenue
+           traffic_source, campaign_name, transaction_id, total_purchase_revenue, {_EXTRA}
     FROM ga_raw
 )"""
 
-PRODUCTS = EVENTS + """,
+PRODUCTS = EVENTS + f""",
 ga_products AS (
     SELECT e.event_date, e.user_pseudo_id, e.event_datetime, e.event_name,
            CAST(p.p_partkey AS VARCHAR) AS item_id,
@@ -62,7 +89,8 @@ ga_products AS (
            p.p_retailprice AS item_price,
            CAST(l.l_quantity AS BIGINT) AS item_quantity,
            p.p_retailprice * CAST(l.l_quantity AS BIGINT) AS item_total_revenue,
-           l.l_extendedprice AS item_reported_revenue
+           l.l_extendedprice AS item_reported_revenue, p.p_size / 2 AS item_refund_amount,
+           {_ITEM_EXTRA}, l.l_linenumber AS line
     FROM ga_events e
     JOIN lineitem l ON l.l_orderkey = e.event_id AND NOT e.twin
     JOIN part p ON p.p_partkey = l.l_partkey
@@ -91,6 +119,7 @@ ga_newusers AS (
     SELECT f.user_pseudo_id, f.event_date AS first_visit_date,
            f.event_datetime AS first_visit_datetime, f.country, f.continent, f.device_type,
            f.campaign_name, f.traffic_medium, f.traffic_source,
+           f.region, f.city, f.os, f.browser, f.device_language, f.mobile_brand,
            (b.user_pseudo_id IS NOT NULL) AS did_purchase,
            b.first_purchase_datetime, b.purchase_revenue_total,
            coalesce(b.purchase_count, 0) AS purchase_count,

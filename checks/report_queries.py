@@ -19,7 +19,18 @@ from webmetrics.functions import predicates as pred
 from webmetrics.functions.scalar import flag_not_null, iso_text, named
 from webmetrics.operators import measures, newusers, ordering, semijoin
 from webmetrics.plans import event_report, event_table, newuser_report, options, product_report
-from webmetrics.schema import EVENT_TABLE_COLUMNS, FUNNEL_STAGES, PRODUCT_TABLE_COLUMNS
+from webmetrics.schema import (
+    DIRECT,
+    EVENT_TABLE_COLUMNS,
+    FUNNEL_STAGES,
+    PERIOD_NAMES,
+    PERIOD_OF_DAYS,
+    PERIOD_UNKNOWN,
+    PRODUCT_TABLE_COLUMNS,
+    UNCATEGORISED,
+    UNKNOWN_COUNTRY,
+    UNKNOWN_DEVICE,
+)
 from webmetrics.sources import driver_tables as sample
 from webmetrics.spec import FilterSpec
 
@@ -28,13 +39,13 @@ RECENT_DAYS = FilterSpec(start="2024-01-16", end="2024-01-30")
 DIRECT_GOO = FilterSpec(mediums=("", "cpc"), keyword="goo")
 
 
-def events(spark, folder, spec=EVERYTHING):
-    """Sample events; a day range reaches the scan."""
-    return sample.events(spark, folder, spec.start, spec.end)
+def events(spark, folder):
+    """All sample events: filters are the library's work, also those of dates."""
+    return sample.events(spark, folder)
 
 
-def products(spark, folder, spec=EVERYTHING):
-    return sample.products(spark, folder, spec.start, spec.end)
+def products(spark, folder):
+    return sample.products(spark, folder)
 
 
 def _counted(df, *by):
@@ -86,7 +97,7 @@ def _(spark, folder):
     SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) AS cnt FROM ga_events
     WHERE {RECENT} GROUP BY event_date"""))
 def _(spark, folder):
-    rows = events(spark, folder, RECENT_DAYS)
+    rows = events(spark, folder)
     return _counted(rows.where(pred.f_date("event_date", RECENT_DAYS.start, RECENT_DAYS.end)),
                     "event_date")
 
@@ -99,7 +110,7 @@ def _(spark, folder):
 def _(spark, folder):
     spec = FilterSpec(mediums=("", "cpc"), keyword="goo", event_names=("purchase", "view_item"),
                       start="2024-01-16", end="2024-01-30")
-    return event_report.filtered(events(spark, folder, spec), spec).select(
+    return event_report.filtered(events(spark, folder), spec).select(
         "event_date", "event_datetime", "event_name", "user_pseudo_id", "traffic_medium",
         "traffic_source")
 
@@ -127,7 +138,7 @@ def _(spark, folder):
     GROUP BY event_date, item_category"""))
 def _(spark, folder):
     spec = FilterSpec(categories=("SMALL", "PROMO"), start="2024-01-16", end="2024-01-30")
-    return _counted(products(spark, folder, spec).where(pred.product_filter(spec)),
+    return _counted(products(spark, folder).where(pred.product_filter(spec)),
                     "event_date", "item_category")
 
 
@@ -168,10 +179,9 @@ def _(spark, folder):
 
 @query("semi_join_elided", with_(SOLD, f"""
     SELECT user_pseudo_id, {micros('event_datetime')} AS event_datetime, item_id, item_quantity
-    FROM ga_sold WHERE {RECENT}"""))
+    FROM ga_sold"""))
 def _(spark, folder):
-    rows = semijoin.filter_products_by_events(
-        products(spark, folder, RECENT_DAYS), None, RECENT_DAYS)
+    rows = semijoin.filter_products_by_events(products(spark, folder), None, EVERYTHING)
     return rows.select("user_pseudo_id", "event_datetime", "item_id", "item_quantity")
 
 
@@ -223,9 +233,7 @@ def _(spark, folder):
 @query("build_new_users", with_(NEWUSERS, f"""
     SELECT user_pseudo_id, CAST(first_visit_date AS VARCHAR) AS first_visit_date,
            {micros('first_visit_datetime')} AS first_visit_datetime, country,
-           CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS city, continent, device_type,
-           CAST(NULL AS VARCHAR) AS os, CAST(NULL AS VARCHAR) AS browser,
-           CAST(NULL AS VARCHAR) AS device_language, CAST(NULL AS VARCHAR) AS mobile_brand,
+           region, city, continent, device_type, os, browser, device_language, mobile_brand,
            campaign_name, traffic_medium, traffic_source, did_purchase,
            {micros('first_purchase_datetime')} AS first_purchase_datetime,
            round(purchase_revenue_total, 2) AS purchase_revenue_total, purchase_count,
@@ -247,7 +255,7 @@ def _kpi_sql(where):
 
 @query("kpi", with_(EVENTS, _kpi_sql(RECENT)))
 def _(spark, folder):
-    return rounded(event_report.kpi(events(spark, folder, RECENT_DAYS), RECENT_DAYS), revenue=2)
+    return rounded(event_report.kpi(events(spark, folder), RECENT_DAYS), revenue=2)
 
 
 @query("kpi_filtered", with_(EVENTS, _kpi_sql(AUDIENCE)))
@@ -276,8 +284,7 @@ def _compared(df):
 @query("kpi_compare", with_(EVENTS + _compare_sql(
     RECENT, "event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'"), ""))
 def _(spark, folder):
-    rows = sample.events(spark, folder, RECENT_DAYS.previous().start, RECENT_DAYS.end)
-    return _compared(event_report.kpi_compare(rows, RECENT_DAYS))
+    return _compared(event_report.kpi_compare(events(spark, folder), RECENT_DAYS))
 
 
 @query("kpi_compare_no_previous", with_(EVENTS + _compare_sql(
@@ -314,28 +321,32 @@ def _(spark, folder):
         iso_text(last).alias("previous_end"))
 
 
-@query("period_label", with_(_SPANS, """
-    SELECT o_orderkey, CASE WHEN end_day IS NULL THEN '前期'
-               WHEN end_day - start_day + 1 BETWEEN 6 AND 8 THEN '前一週'
-               WHEN end_day - start_day + 1 BETWEEN 26 AND 31 THEN '前一個月'
-               WHEN end_day - start_day + 1 BETWEEN 84 AND 95 THEN '前一季'
-               WHEN end_day - start_day + 1 BETWEEN 358 AND 372 THEN '前一年'
-               ELSE concat('前 ', end_day - start_day + 1, ' 天') END AS label
+_LENGTH = "end_day - start_day + 1"
+
+
+@query("period_label", with_(_SPANS, f"""
+    SELECT o_orderkey, CASE WHEN end_day IS NULL THEN '{PERIOD_UNKNOWN}' {" ".join(
+        f"WHEN {_LENGTH} BETWEEN {low} AND {high} THEN '{name}'" for low, high, name in PERIOD_NAMES)}
+        ELSE replace('{PERIOD_OF_DAYS}', '{{}}', CAST({_LENGTH} AS VARCHAR)) END AS label
     FROM ga_spans"""))
 def _(spark, folder):
     return _spans(spark, folder).select(
         "o_orderkey", event_report.period_label("start_day", "end_day").alias("label"))
 
 
-@query("daily_trend", with_(EVENTS, f"""
+def _trend_sql(where):
+    return f"""
     SELECT CAST(day AS VARCHAR) AS day, events, round(revenue, 2) AS revenue,
            round(avg(events) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6)
                AS ma7
     FROM (SELECT event_date AS day, count(*) AS events,
                  coalesce(sum(total_purchase_revenue), 0) AS revenue
-          FROM ga_events WHERE {RECENT} GROUP BY event_date)"""))
+          FROM ga_events WHERE {where} GROUP BY event_date)"""
+
+
+@query("daily_trend", with_(EVENTS, _trend_sql(RECENT)))
 def _(spark, folder):
-    return rounded(event_report.daily_trend(events(spark, folder, RECENT_DAYS), RECENT_DAYS),
+    return rounded(event_report.daily_trend(events(spark, folder), RECENT_DAYS),
                    revenue=2)
 
 
@@ -373,13 +384,13 @@ def _share_sql(relation, key, name, where="TRUE"):
 @query("device_share", with_(EVENTS, _share_sql(
     "ga_events", "coalesce(device_type, 'unknown')", "device", RECENT)))
 def _(spark, folder):
-    return rounded(event_report.device_share(events(spark, folder, RECENT_DAYS), RECENT_DAYS))
+    return rounded(event_report.device_share(events(spark, folder), RECENT_DAYS))
 
 
 @query("event_composition", with_(EVENTS, f"""
     SELECT event_name AS name, count(*) AS cnt FROM ga_events WHERE {RECENT} GROUP BY 1"""))
 def _(spark, folder):
-    return event_report.event_composition(events(spark, folder, RECENT_DAYS), RECENT_DAYS)
+    return event_report.event_composition(events(spark, folder), RECENT_DAYS)
 
 
 @query("stage_flags", with_(EVENTS, "SELECT user_pseudo_id, " + ", ".join(
@@ -389,19 +400,24 @@ def _(spark, folder):
     return measures.stage_flags(events(spark, folder), FUNNEL_STAGES)
 
 
-_FUNNEL = f""",
+def _funnel_sql(where):
+    steps = ", ".join(
+        f"count(*) FILTER (WHERE list_has_all(done, {list(FUNNEL_STAGES[:i + 1])})) AS {stage}"
+        for i, stage in enumerate(FUNNEL_STAGES))
+    return f""",
 ga_people AS (
     SELECT user_pseudo_id, list(DISTINCT event_name) AS done
-    FROM ga_events WHERE {RECENT} GROUP BY user_pseudo_id),
-ga_funnel AS (SELECT """ + ", ".join(
-    f"count(*) FILTER (WHERE list_has_all(done, {list(FUNNEL_STAGES[:i + 1])})) AS {stage}"
-    for i, stage in enumerate(FUNNEL_STAGES)) + " FROM ga_people)"
+    FROM ga_events WHERE {where} GROUP BY user_pseudo_id),
+ga_funnel AS (SELECT {steps} FROM ga_people)"""
+
+
+_FUNNEL = _funnel_sql(RECENT)
 
 
 @query("funnel", with_(EVENTS + _FUNNEL, "SELECT * FROM ga_funnel"))
 def _(spark, folder):
     spec = FilterSpec(event_names=("purchase",), start="2024-01-16", end="2024-01-30")
-    return event_report.funnel(events(spark, folder, spec), spec)
+    return event_report.funnel(events(spark, folder), spec)
 
 
 def _rate(part, whole):
@@ -419,35 +435,44 @@ def _stage_sql(i):
 @query("funnel_rates", with_(EVENTS + _FUNNEL, "\n    UNION ALL ".join(
     _stage_sql(i) for i in range(len(FUNNEL_STAGES)))))
 def _(spark, folder):
-    counts = event_report.funnel(events(spark, folder, RECENT_DAYS), RECENT_DAYS)
+    counts = event_report.funnel(events(spark, folder), RECENT_DAYS)
     return rounded(event_report.funnel_rates(counts))
 
 
 @query("matched_rows", with_(EVENTS, f"""
     SELECT count(*) AS matched FROM ga_events WHERE {AUDIENCE}"""))
 def _(spark, folder):
-    rows, _ = event_report.matched_rows(events(spark, folder), DIRECT_GOO)
-    return measures.count_rows(rows, "matched")
+    rows, seen = event_report.matched_rows(events(spark, folder), DIRECT_GOO)
+    rows.write.format("noop").mode("overwrite").save()  # the report's own action; the count comes with it
+    return spark.createDataFrame([(seen.rows,)], "matched BIGINT")
 
 
 # ---- product report ------------------------------------------------------------------------
 
 
-def _category_sql(where):
-    return f"""
-    SELECT coalesce(nullif(item_category, ''), '(未分類)') AS category,
-           round(sum(item_total_revenue), 2) AS revenue
-    FROM ga_sold s WHERE {where}
-    GROUP BY 1 HAVING sum(item_total_revenue) > 0
-    ORDER BY sum(item_total_revenue) DESC, category LIMIT 5"""
+def _leading_sql(relation, label, amount, names, n, where="TRUE"):
+    """The n labels with the largest positive totals: totals first, then their places."""
+    key, total = names
+    return f""",
+ga_amounts AS (SELECT {label} AS label, {amount} AS amount FROM {relation} WHERE {where}),
+ga_totals AS (SELECT label, sum(amount) AS total FROM ga_amounts GROUP BY label),
+ga_places AS (SELECT *, row_number() OVER (ORDER BY total DESC, label) AS place
+              FROM ga_totals WHERE total > 0)
+SELECT label AS {key}, {total} FROM ga_places WHERE place <= {n}"""
 
 
-def _items_sql(where):
-    return f"""
-    SELECT coalesce(nullif(item_name, ''), item_id) AS item,
-           CAST(sum(item_quantity) AS BIGINT) AS qty
-    FROM ga_sold s WHERE {where}
-    GROUP BY 1 HAVING sum(item_quantity) > 0 ORDER BY qty DESC, item LIMIT 10"""
+def _text_or(column, other):
+    return f"CASE WHEN length({column}) > 0 THEN {column} ELSE {other} END"
+
+
+def _category_sql(where="TRUE"):
+    return _leading_sql("ga_sold s", _text_or("s.item_category", f"'{UNCATEGORISED}'"), "s.item_total_revenue",
+                        ("category", "round(total, 2) AS revenue"), 5, where)
+
+
+def _items_sql(where="TRUE"):
+    return _leading_sql("ga_sold s", _text_or("s.item_name", "s.item_id"), "s.item_quantity",
+                        ("item", "CAST(total AS BIGINT) AS qty"), 10, where)
 
 
 @query("category_revenue", with_(SOLD, _category_sql(_MATCHED)))
@@ -463,10 +488,10 @@ def _(spark, folder):
         products(spark, folder), events(spark, folder), spec), revenue=2)
 
 
-@query("category_revenue_all", with_(SOLD, _category_sql(RECENT)))
+@query("category_revenue_all", with_(SOLD, _category_sql()))
 def _(spark, folder):
     return rounded(product_report.category_revenue(
-        products(spark, folder, RECENT_DAYS), None, RECENT_DAYS), revenue=2)
+        products(spark, folder), None, EVERYTHING), revenue=2)
 
 
 @query("top_items", with_(SOLD, _items_sql(_MATCHED)))
@@ -474,9 +499,9 @@ def _(spark, folder):
     return product_report.top_items(products(spark, folder), events(spark, folder), DIRECT_GOO)
 
 
-@query("top_items_all", with_(SOLD, _items_sql(RECENT)))
+@query("top_items_all", with_(SOLD, _items_sql()))
 def _(spark, folder):
-    return product_report.top_items(products(spark, folder, RECENT_DAYS), None, RECENT_DAYS)
+    return product_report.top_items(products(spark, folder), None, EVERYTHING)
 
 
 @query("product_total", with_(SOLD, f"SELECT count(*) AS total FROM ga_sold s WHERE {_MATCHED}"))
@@ -503,9 +528,21 @@ def _(spark, folder):
                                         DIRECT_GOO, 2)
 
 
-@query("products_page_all", with_(SOLD, _products_page_sql(RECENT, 0)))
+@query("products_page_all", with_(SOLD, _products_page_sql("TRUE", 0)))
+def _(spark, folder):
+    return product_report.products_page(products(spark, folder), None, EVERYTHING)
+
+
+@query("products_page_after", with_(SOLD, f"""
+    SELECT {PRODUCT_SHOWN} FROM (
+        SELECT * FROM ga_sold s WHERE {_MATCHED}
+        ORDER BY event_datetime DESC, {", ".join(PRODUCT_TABLE_COLUMNS)} LIMIT 30 OFFSET 30)"""))
 def _(spark, folder):
-    return product_report.products_page(products(spark, folder, RECENT_DAYS), None, RECENT_DAYS)
+    bought, all_events = products(spark, folder), events(spark, folder)
+    first = product_report.products_page_after(bought, all_events, DIRECT_GOO, size=30)
+    cursor = ordering.Cursor.after([r.sort_values for r in first.collect()])  # one page
+    following = product_report.products_page_after(bought, all_events, DIRECT_GOO, cursor, 30)
+    return following.drop("sort_values")
 
 
 # ---- new-user report -----------------------------------------------------------------------
@@ -514,13 +551,17 @@ _VISITED = "first_visit_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'"
 VISITED = FilterSpec(start="2024-01-03", end="2024-01-25")
 
 
-@query("newuser_stats", with_(NEWUSERS, f"""
+def _stats_sql(where):
+    return f"""
     SELECT count(*) AS total, count(*) FILTER (WHERE did_purchase) AS converted,
            round(coalesce(count(*) FILTER (WHERE did_purchase) * 100.0 / nullif(count(*), 0), 0), 6)
                AS rate,
            round(avg(CASE WHEN did_purchase AND days_to_first_purchase >= 0
                           THEN days_to_first_purchase END), 6) AS avg_days
-    FROM ga_newusers WHERE {_VISITED}"""))
+    FROM ga_newusers WHERE {where}"""
+
+
+@query("newuser_stats", with_(NEWUSERS, _stats_sql(_VISITED)))
 def _(spark, folder):
     return rounded(newuser_report.newuser_stats(sample.newusers(spark, folder), VISITED))
 
@@ -539,10 +580,9 @@ def _(spark, folder):
     return rounded(newuser_report.newuser_device(sample.newusers(spark, folder), VISITED))
 
 
-@query("newuser_country", with_(NEWUSERS, f"""
-    SELECT coalesce(nullif(country, ''), '(unknown)') AS country, count(*) AS cnt
-    FROM ga_newusers WHERE {_VISITED} GROUP BY 1
-    ORDER BY cnt DESC, 1 LIMIT 10"""))
+@query("newuser_country", with_(NEWUSERS, _leading_sql(
+    "ga_newusers", _text_or("country", f"'{UNKNOWN_COUNTRY}'"), "1",
+    ("country", "CAST(total AS BIGINT) AS cnt"), 10, _VISITED)))
 def _(spark, folder):
     return newuser_report.newuser_country(sample.newusers(spark, folder), VISITED)
 
@@ -553,15 +593,64 @@ def _(spark, folder):
     return rounded(newuser_report.newuser_medium(sample.newusers(spark, folder), VISITED))
 
 
-@query("newuser_conversion", with_(NEWUSERS, f"""
-    SELECT coalesce(nullif(traffic_medium, ''), '(direct)') AS medium, count(*) AS users,
-           count(*) FILTER (WHERE did_purchase) AS buyers,
-           round(count(*) FILTER (WHERE did_purchase) * 100.0 / count(*), 6) AS rate
-    FROM ga_newusers WHERE {_VISITED} GROUP BY 1 HAVING count(*) >= 20"""))
+def _conversion_sql(where):
+    return f""",
+ga_visitors AS (
+    SELECT {_text_or("traffic_medium", f"'{DIRECT}'")} AS medium, user_pseudo_id,
+           CASE WHEN did_purchase THEN user_pseudo_id END AS buyer
+    FROM ga_newusers WHERE {where}),
+ga_media AS (
+    SELECT medium, count(DISTINCT user_pseudo_id) AS users, count(DISTINCT buyer) AS buyers
+    FROM ga_visitors GROUP BY medium)
+SELECT medium, users, buyers, round(buyers * 100.0 / users, 6) AS rate
+FROM ga_media WHERE users > 19"""
+
+
+@query("newuser_conversion", with_(NEWUSERS, _conversion_sql(_VISITED)))
 def _(spark, folder):
     return rounded(newuser_report.newuser_conversion(sample.newusers(spark, folder), VISITED))
 
 
+# ---- the same reports over everything --------------------------------------------------------
+
+
+@query("kpi_all", with_(EVENTS, _kpi_sql("TRUE")))
+def _(spark, folder):
+    return rounded(event_report.kpi(events(spark, folder), EVERYTHING), revenue=2)
+
+
+@query("daily_trend_all", with_(EVENTS, _trend_sql("TRUE")))
+def _(spark, folder):
+    return rounded(event_report.daily_trend(events(spark, folder), EVERYTHING), revenue=2)
+
+
+@query("device_share_all", with_(EVENTS, _share_sql(
+    "ga_events", _text_or("device_type", f"'{UNKNOWN_DEVICE}'"), "device")))
+def _(spark, folder):
+    return rounded(event_report.device_share(events(spark, folder), EVERYTHING))
+
+
+@query("event_composition_all", with_(EVENTS, """
+    SELECT event_name AS name, count(*) AS cnt FROM ga_events GROUP BY 1"""))
+def _(spark, folder):
+    return event_report.event_composition(events(spark, folder), EVERYTHING)
+
+
+@query("funnel_all", with_(EVENTS + _funnel_sql("TRUE"), "SELECT * FROM ga_funnel"))
+def _(spark, folder):
+    return event_report.funnel(events(spark, folder), EVERYTHING)
+
+
+@query("newuser_stats_all", with_(NEWUSERS, _stats_sql("TRUE")))
+def _(spark, folder):
+    return rounded(newuser_report.newuser_stats(sample.newusers(spark, folder), EVERYTHING))
+
+
+@query("newuser_conversion_all", with_(NEWUSERS, _conversion_sql("TRUE")))
+def _(spark, folder):
+    return rounded(newuser_report.newuser_conversion(sample.newusers(spark, folder), EVERYTHING))
+
+
 # ---- event table ---------------------------------------------------------------------------
 
 
@@ -572,7 +661,7 @@ def _events_page_sql(order, where, size, offset):
 
 @query("events_page", with_(EVENTS, _events_page_sql("event_datetime DESC", RECENT, 20, 20)))
 def _(spark, folder):
-    return event_table.events_page(events(spark, folder, RECENT_DAYS), RECENT_DAYS, None, 1)
+    return event_table.events_page(events(spark, folder), RECENT_DAYS, None, 1)
 
 
 @query("events_page_sorted", with_(EVENTS, _events_page_sql(
@@ -592,7 +681,7 @@ def _(spark, folder):
     FROM ga_events e WHERE {RECENT}
     ORDER BY e.event_datetime DESC, e.event_name LIMIT 50 OFFSET 50"""))
 def _(spark, folder):
-    rows = events(spark, folder, RECENT_DAYS)
+    rows = events(spark, folder)
     first = event_table.events_page_after(rows, RECENT_DAYS, size=50)
     cursor = ordering.Cursor.after([r.sort_values for r in first.collect()])
     following = event_table.events_page_after(rows, RECENT_DAYS, cursor, size=50)

@@ -175,8 +175,13 @@ _WAREHOUSE = """
     SELECT 'events' AS name, CAST(event_date AS VARCHAR) AS day, count(*) AS cnt,
            round(sum(total_purchase_revenue), 2) AS amount FROM ga_events GROUP BY event_date
     UNION ALL
+    SELECT 'products', CAST(event_date AS VARCHAR), count(*), round(sum(item_total_revenue), 2)
+    FROM ga_products GROUP BY event_date
+    UNION ALL
     SELECT 'newusers', CAST(first_visit_date AS VARCHAR), count(*),
            round(sum(purchase_revenue_total), 2) FROM ga_newusers GROUP BY first_visit_date"""
+# New users build on the events, as products do.
+_TABLES = PRODUCTS + NEWUSERS.removeprefix(EVENTS)
 
 
 def _stored_sums(spark, layout):
@@ -187,17 +192,18 @@ def _stored_sums(spark, layout):
                  "cnt", "amount")
 
     return sums("events", "event_date", "total_purchase_revenue").unionByName(
+        sums("products", "event_date", "item_total_revenue")).unionByName(
         sums("newusers", "first_visit_date", "purchase_revenue_total"))
 
 
-@query("build_warehouse", with_(NEWUSERS, _WAREHOUSE))
+@query("build_warehouse", with_(_TABLES, _WAREHOUSE))
 def _(spark, folder):
     layout = _layout(spark, "warehouse")
     sink.build_warehouse(spark, *_loader(spark, folder)(), layout=layout)
     return _stored_sums(spark, layout)
 
 
-@query("ensure_warehouse", with_(NEWUSERS, _WAREHOUSE))
+@query("ensure_warehouse", with_(_TABLES, _WAREHOUSE))
 def _(spark, folder):
     layout = _layout(spark, "ensured")
     load = _loader(spark, folder)
@@ -271,16 +277,37 @@ def _(spark, folder):
     )
 
 
-@query("run_etl", with_(NEWUSERS, """
-    SELECT count(*) AS users, count(*) FILTER (WHERE did_purchase) AS buyers,
-           round(count(*) FILTER (WHERE did_purchase) * 100.0 / count(*), 6) AS conversion_rate
-    FROM ga_newusers"""))
+# Item records come as further, nameless events, so that no purchase is counted twice.
+_DELIVERED = _TABLES + """,
+ga_delivered AS (
+    SELECT event_date, total_purchase_revenue FROM ga_events
+    UNION ALL SELECT event_date, NULL FROM ga_products)"""
+_DELIVERED_SUMS = _WAREHOUSE.replace("FROM ga_events", "FROM ga_delivered")
+
+
+def _delivered(spark, folder):
+    items = sample.raw_item_records(spark, folder)
+    nothing = F.lit(None).cast(items.schema["ecommerce"].dataType)
+    items = items.withColumns({"event_name": F.lit(None).cast("string"), "ecommerce": nothing})
+    return sample.raw_events(spark, folder).unionByName(items)
+
+
+@query("run_etl", with_(_DELIVERED, _DELIVERED_SUMS))
 def _(spark, folder):
     layout = _layout(spark, "etl")
     month = sink.previous_month_range("2024-02-01")
-    result = run_etl(spark, sample.raw_events(spark, folder), f"{layout.location}/files",
-                     *month, layout, tie_break=["event_id"])
-    return rounded(result.summary)
+    run_etl(spark, _delivered(spark, folder), f"{layout.location}/files", *month, layout,
+            tie_break=["event_id"])
+    return _stored_sums(spark, layout)
+
+
+@query("run_etl_incremental", with_(_DELIVERED, _DELIVERED_SUMS))
+def _(spark, folder):
+    layout, raw = _layout(spark, "halves"), _delivered(spark, folder)
+    files = f"{layout.location}/files"
+    for start, end in (("20240101", "20240115"), ("20240116", "20240131"), ("20240110", "20240120")):
+        run_etl(spark, raw, files, start, end, layout, ["event_id"], replace="partitions")
+    return _stored_sums(spark, layout)
 
 
 @query("etl_summary", with_(NEWUSERS, """
@@ -296,44 +323,31 @@ def _(spark, folder):
 _DIMENSIONS = "country, continent, device_type, campaign_name, traffic_medium, traffic_source"
 
 
-@query("flatten_events", with_(EVENTS, f"""
-    SELECT CAST(event_date AS VARCHAR) AS event_date, {micros('event_datetime')} AS event_datetime,
-           event_name, CAST(NULL AS DOUBLE) AS event_value_in_usd, user_pseudo_id, country,
-           CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS city,
-           CAST(NULL AS VARCHAR) AS sub_continent, continent, device_type,
-           CAST(NULL AS VARCHAR) AS os, CAST(NULL AS VARCHAR) AS browser,
-           CAST(NULL AS VARCHAR) AS device_language, CAST(NULL AS VARCHAR) AS mobile_brand,
-           campaign_name, traffic_medium, traffic_source,
-           CAST(NULL AS BIGINT) AS total_items_count, total_purchase_revenue, transaction_id,
-           CAST(NULL AS BIGINT) AS unique_items_count
-    FROM ga_events"""))
+_EVENT_COLUMNS = ("""event_name, event_value_in_usd, user_pseudo_id, country, region, city, sub_continent,
+           continent, device_type, os, browser, device_language, mobile_brand, campaign_name, traffic_medium,
+           traffic_source, total_items_count, total_purchase_revenue, transaction_id, unique_items_count""")
+_EVENT_TIMES = f"""CAST(event_date AS VARCHAR) AS event_date, {micros('event_datetime')} AS event_datetime"""
+
+
+@query("flatten_events", with_(EVENTS, f"SELECT {_EVENT_TIMES}, {_EVENT_COLUMNS} FROM ga_events"))
 def _(spark, folder):
     return sample.events(spark, folder)
 
 
 @query("flatten_events_wide", with_(EVENTS, f"""
-    SELECT CAST(event_date AS VARCHAR) AS event_date, {micros('event_datetime')} AS event_datetime,
-           event_name, user_pseudo_id, {_DIMENSIONS},
-           CAST(NULL AS BIGINT) AS event_previous_timestamp,
-           CAST(NULL AS BIGINT) AS user_first_touch_timestamp,
-           CAST(NULL AS VARCHAR) AS metro_area, CAST(NULL AS VARCHAR) AS os_version,
-           CAST(NULL AS VARCHAR) AS browser_version, CAST(NULL AS VARCHAR) AS mobile_model
+    SELECT {_EVENT_TIMES}, {_EVENT_COLUMNS}, event_previous_timestamp, user_first_touch_timestamp,
+           metro_area, os_version, browser_version, mobile_model
     FROM ga_events"""))
 def _(spark, folder):
-    return sample.events(spark, folder, wide=True).select(
-        "event_date", "event_datetime", "event_name", "user_pseudo_id",
-        *_DIMENSIONS.split(", "), "event_previous_timestamp", "user_first_touch_timestamp",
-        "metro_area", "os_version", "browser_version", "mobile_model")
+    return sample.events(spark, folder, wide=True)
 
 
 _ITEMS = f"""CAST(event_date AS VARCHAR) AS event_date, user_pseudo_id,
            {micros('event_datetime')} AS event_datetime, event_name, item_id, item_name, item_brand,
-           CAST(NULL AS VARCHAR) AS item_variant, item_category,
-           CAST(NULL AS VARCHAR) AS item_category2"""
+           item_variant, item_category, item_category2"""
 _ITEM_SUMS = """item_price, item_quantity, round(item_total_revenue, 2) AS item_total_revenue,
            item_reported_revenue"""
-_ITEM_TAIL = """CAST(NULL AS VARCHAR) AS item_coupon_code, CAST(NULL AS VARCHAR) AS store_affiliation,
-           CAST(NULL AS VARCHAR) AS location_id"""
+_ITEM_TAIL = "item_coupon_code, store_affiliation, location_id"
 
 
 @query("explode_items", with_(PRODUCTS, f"""
@@ -343,22 +357,22 @@ def _(spark, folder):
 
 
 @query("explode_items_wide", with_(PRODUCTS, f"""
-    SELECT {_ITEMS}, CAST(NULL AS VARCHAR) AS item_category3,
-           CAST(NULL AS VARCHAR) AS item_category4, CAST(NULL AS VARCHAR) AS item_category5,
-           {_ITEM_SUMS}, CAST(NULL AS DOUBLE) AS item_refund_amount, {_ITEM_TAIL}
+    SELECT {_ITEMS}, item_category3, item_category4, item_category5, {_ITEM_SUMS},
+           item_refund_amount, {_ITEM_TAIL}
     FROM ga_products"""))
 def _(spark, folder):
     return rounded(sample.products(spark, folder, wide=True), item_total_revenue=2)
 
 
 @query("unnest_items", with_(PRODUCTS, """
-    SELECT event_name, count(*) AS item_count, CAST(sum(item_quantity) AS BIGINT) AS quantity
-    FROM ga_products GROUP BY event_name"""))
+    SELECT event_name, item_id, count(*) AS item_count,
+           CAST(sum(item_quantity + unit) AS BIGINT) AS quantity
+    FROM ga_products, (VALUES (1), (2), (3)) AS units (unit) WHERE unit <= line % 4
+    GROUP BY event_name, item_id"""))
 def _(spark, folder):
-    # Records without items stay in: the empty lists must vanish.
-    records = sample.raw_item_records(spark, folder).unionByName(
-        sample.raw_events(spark, folder))
-    return explode_items(records).groupBy("event_name").agg(
+    # Lists of one to three items, and empty ones, which must vanish.
+    records = sample.raw_bundles(spark, folder).unionByName(sample.raw_events(spark, folder))
+    return explode_items(records).groupBy("event_name", "item_id").agg(
         F.count(F.lit(1)).alias("item_count"), F.sum("item_quantity").alias("quantity"))
 
 

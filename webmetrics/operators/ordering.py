@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from webmetrics.spec import SortKey
 
@@ -93,6 +94,23 @@ class Cursor:
         return Cursor(last, shown)
 
 
+def portable_keys(df: DataFrame, keys: Sequence[tuple[Column, bool]], cursor: Cursor | None) -> tuple[Column, Cursor | None]:
+    """A ``sort_values`` struct of the keys, and ``cursor`` with its values as the keys' own types.
+
+    Times travel as microseconds: Python's own would pass through the driver's zone.
+    """
+    fields = df.select(*[c.alias(f"key_{i}") for i, (c, _) in enumerate(keys)]).schema
+    times = [isinstance(f.dataType, TimestampType) for f in fields]
+    if cursor is not None:
+        cursor = Cursor(tuple(
+            F.timestamp_micros(F.lit(v)) if time and v is not None else v
+            for v, time in zip(cursor.values, times, strict=True)), cursor.shown)
+    values = F.struct(*[
+        (F.unix_micros(c) if time else c).alias(f"key_{i}")
+        for i, ((c, _), time) in enumerate(zip(keys, times, strict=True))])
+    return values.alias("sort_values"), cursor
+
+
 def behind(df: DataFrame, keys: Sequence[tuple[Column, bool]],
            cursor: Cursor | None) -> DataFrame:
     """Rows from the cursor's values on, those shown already included."""

@@ -6,7 +6,6 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
 
 from webmetrics.functions.predicates import event_filter
 from webmetrics.functions.scalar import iso_text, money, named, or_else, time_text
@@ -20,6 +19,7 @@ from webmetrics.operators.ordering import (
     page,
     page_after,
     page_count,
+    portable_keys,
     reaching,
 )
 from webmetrics.schema import DASH, DIRECT, EVENT_TABLE_COLUMNS
@@ -87,17 +87,8 @@ def events_page_after(events: DataFrame, spec: FilterSpec, cursor: Cursor | None
     ``Cursor.after([r.sort_values for r in rows], cursor)`` leads to the following page.
     """
     keys = event_keys(sort)
-    fields = events.select(*[c.alias(f"key_{i}") for i, (c, _) in enumerate(keys)]).schema
-    times = [isinstance(f.dataType, TimestampType) for f in fields]
-    if cursor is not None:
-        # Times travel as microseconds: Python's own would pass through the driver's zone.
-        cursor = Cursor(tuple(
-            F.timestamp_micros(F.lit(v)) if time and v is not None else v
-            for v, time in zip(cursor.values, times, strict=True)), cursor.shown)
+    values, cursor = portable_keys(events, keys, cursor)
     rest = behind(events.where(event_filter(spec)), keys, cursor)
     near = _candidates(rest, sort, size + (cursor.shown if cursor else 0))
-    values = F.struct(*[
-        (F.unix_micros(c) if time else c).alias(f"key_{i}")
-        for i, ((c, _), time) in enumerate(zip(keys, times, strict=True))])
     return page_after(near, keys, cursor, size).select(
-        *[c.alias(n) for n, c in event_display().items()], values.alias("sort_values"))
+        *[c.alias(n) for n, c in event_display().items()], values)

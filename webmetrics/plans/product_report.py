@@ -6,7 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webmetrics.functions.scalar import iso_text, money, named, or_else
-from webmetrics.operators.ordering import PAGE_SIZE, page, page_count, top_k
+from webmetrics.operators.ordering import (
+    PAGE_SIZE,
+    Cursor,
+    behind,
+    directed,
+    page,
+    page_after,
+    page_count,
+    portable_keys,
+    top_k,
+)
 from webmetrics.operators.semijoin import leading_by_events, totals_by_events
 from webmetrics.schema import DASH, PRODUCT_TABLE_COLUMNS, UNCATEGORISED
 from webmetrics.spec import FilterSpec
@@ -71,6 +81,24 @@ def products_page(products: DataFrame, events: DataFrame | None, spec: FilterSpe
     return display_products(wanted, uncategorised).withColumn("page_count", pages)
 
 
+def products_page_after(products: DataFrame, events: DataFrame | None, spec: FilterSpec,
+                        cursor: Cursor | None = None, size: int = PAGE_SIZE,
+                        uncategorised: str = UNCATEGORISED) -> DataFrame:
+    """The page behind a cursor, latest first, with a ``sort_values`` struct on each row.
+
+    Nothing is counted: rows before the cursor drop out in the scan of the products, so a page
+    costs the same at any depth. ``Cursor.after([r.sort_values for r in rows], cursor)`` leads
+    to the following page.
+    """
+    keys = [(F.col("event_datetime"), False), *[(F.col(c), True) for c in PRODUCT_TABLE_COLUMNS]]
+    values, cursor = portable_keys(products, keys, cursor)
+    same_time = [directed(c, ascending) for c, ascending in keys[1:]]
+    reach = size + (cursor.shown if cursor else 0)
+    near = leading_by_events(behind(products, keys, cursor), events, spec, same_time, reach)
+    shown = [c.alias(n) for n, c in product_display(uncategorised).items()]
+    return page_after(near, keys, cursor, size).select(*shown, values)
+
+
 def product_report(products: DataFrame, events: DataFrame | None,
                    spec: FilterSpec) -> dict[str, DataFrame]:
     return {

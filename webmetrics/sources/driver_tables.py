@@ -6,7 +6,7 @@ the event stream, except that item records join line items and parts.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,6 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from webmetrics.operators.flatten import explode_items, flatten_events
 from webmetrics.operators.newusers import build_new_users
 from webmetrics.schema import NOT_SET, RAW_EVENT_SCHEMA
-from webmetrics.spec import Day, as_day
 
 EVENT_NAMES = {
     "signup": "first_visit",
@@ -26,6 +25,17 @@ EVENT_NAMES = {
 }
 TWIN_OFFSET = 1_000_000_000
 
+# Fields of the records that no sample column stands for: the field's name and a number below
+# the given one, so that no two fields hold the same text. NULL where the key divides by 8.
+NUMBERED = {
+    "geo": {"region": 5, "city": 12, "sub_continent": 4, "metro": 9},
+    "device": {"operating_system": 3, "operating_system_version": 6, "language": 5,
+               "mobile_brand_name": 4, "mobile_model_name": 10},
+    "web_info": {"browser": 3, "browser_version": 7},
+    "item": {"item_variant": 6, "item_category2": 5, "item_category3": 4, "item_category4": 3,
+             "item_category5": 2, "coupon": 7, "affiliation": 9, "location_id": 11},
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -38,18 +48,19 @@ def _record(dtype: StructType, **values: Column) -> Column:
     ])
 
 
+def _numbered(group: str, key: Column) -> dict[str, Column]:
+    return {
+        name: F.when(key % 8 != 0, F.concat(F.lit(f"{name}_"), (key % below).cast("string")))
+        for name, below in NUMBERED[group].items()
+    }
+
+
 def _null(dtype: DataType) -> Column:
     return F.lit(None).cast(dtype)
 
 
-def _stream(spark: SparkSession, folder: str, since: Day, until: Day) -> DataFrame:
-    """The event stream in a day range; the range reaches the scan as a filter on ``ts``."""
-    stream = table(spark, folder, "events")
-    if since is not None:
-        stream = stream.where(F.col("ts") >= F.lit(as_day(since)))
-    if until is not None:
-        stream = stream.where(F.col("ts") < F.lit(as_day(until) + timedelta(days=1)))
-    return stream.drop("props").withColumn("item_key", F.col("event_id"))
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").drop("props").withColumn("item_key", F.col("event_id"))
 
 
 def _with_twins(stream: DataFrame) -> DataFrame:
@@ -69,7 +80,7 @@ def _geography(spark: SparkSession, folder: str) -> DataFrame:
         .select("n_nationkey", "n_name", "r_name")
 
 
-def _nest(stream: DataFrame, geography: DataFrame, items: Column) -> DataFrame:
+def _nest(stream: DataFrame, geography: DataFrame, items: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Event rows (columns event_id, item_key, twin and those of the stream) to records.
 
     Cyclic properties follow the original event, so a twin shares them.
@@ -83,18 +94,24 @@ def _nest(stream: DataFrame, geography: DataFrame, items: Column) -> DataFrame:
     bought = ~F.col("twin") & (F.col("event_type") == "purchase")
     located = eid % 11 != 0
     day = F.date_format("ts", "yyyyMMdd")
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
     seventh, sixth, fifth, fourth = eid % 7, user % 6, user % 5, user % 4
     values = {
         "event_date": day,
-        "event_timestamp": F.unix_micros(F.col("ts").cast("timestamp")),
+        "event_timestamp": moment,
+        "event_previous_timestamp": moment - 1_000_000 * (eid % 60),
+        "user_first_touch_timestamp": moment - 86_400_000_000 * (user % 30),
+        "event_value_in_usd": F.col("value") / 2,
         "event_name": name,
         "user_pseudo_id": F.concat_ws(".", user.cast("string"), (eid % 20).cast("string")),
         "geo": _record(types["geo"], country=F.when(located, F.col("n_name")),
-                       continent=F.when(located, F.col("r_name"))),
+                       continent=F.when(located, F.col("r_name")), **_numbered("geo", eid)),
         "device": _record(
             types["device"],
             category=F.when(seventh == 1, "tablet").when(seventh.isin(2, 3), "mobile")
-            .when(seventh > 3, "desktop")),
+            .when(seventh > 3, "desktop"),
+            web_info=_record(types["device"]["web_info"].dataType, **_numbered("web_info", eid)),
+            **_numbered("device", eid)),
         "traffic_source": _record(
             types["traffic_source"],
             medium=F.when(sixth == 1, "").when(sixth == 2, "cpc").when(sixth == 3, "referral")
@@ -104,7 +121,7 @@ def _nest(stream: DataFrame, geography: DataFrame, items: Column) -> DataFrame:
             name=F.when(fourth == 0, "(organic)").when(fourth == 1, "(referral)")
             .when(fourth == 2, "")),
         "ecommerce": _record(
-            types["ecommerce"],
+            types["ecommerce"], total_item_quantity=eid % 9, unique_items=eid % 4,
             purchase_revenue_in_usd=F.when(bought, F.col("value")),
             transaction_id=F.when(bought & (eid % 13 == 0), NOT_SET)
             .when(bought, (eid % 5000).cast("string"))),
@@ -112,15 +129,14 @@ def _nest(stream: DataFrame, geography: DataFrame, items: Column) -> DataFrame:
         "table_suffix": day,
     }
     joined = stream.join(geography, stream.user_id % 25 == geography.n_nationkey, "left")
-    return joined.select("event_id", *[
+    return joined.select("event_id", *keep, *[
         values.get(f.name, _null(f.dataType)).alias(f.name) for f in RAW_EVENT_SCHEMA.fields
     ])
 
 
-def raw_events(spark: SparkSession, folder: str, since: Day = None,
-               until: Day = None) -> DataFrame:
+def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """All records, items left empty: what event and new-user reports read."""
-    stream = _with_twins(_stream(spark, folder, since, until))
+    stream = _with_twins(_stream(spark, folder))
     empty = F.array().cast(_item_list())
     return _nest(stream, _geography(spark, folder), empty)
 
@@ -140,33 +156,43 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 23 != 0, F.col("p_name")),
         item_category=F.when(key % 29 == 0, "").otherwise(F.col("p_type")),
         price=F.col("p_retailprice"), quantity=F.col("l_quantity").cast("long"),
-        item_revenue=F.col("l_extendedprice"),
+        item_revenue=F.col("l_extendedprice"), item_refund=F.col("p_size") / 2,
+        **_numbered("item", key),
     )
     return lineitem.join(part, lineitem.l_partkey == part.p_partkey) \
-        .select("l_orderkey", item.alias("item"))
+        .select("l_orderkey", "l_linenumber", item.alias("item"))
 
 
-def raw_item_records(spark: SparkSession, folder: str, since: Day = None,
-                     until: Day = None) -> DataFrame:
+def raw_item_records(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     """Records that carry items, one item per record: what product reports read.
 
     Unnested, they give the same rows as records with full item lists, but no list has to be
     collected, however many line items one event has.
     """
-    stream = _stream(spark, folder, since, until).withColumn("twin", F.lit(False))
+    stream = _stream(spark, folder).withColumn("twin", F.lit(False))
     items = _items(spark, folder)
     bought = stream.join(items, stream.event_id == items.l_orderkey)
-    return _nest(bought, _geography(spark, folder), F.array("item"))
+    return _nest(bought, _geography(spark, folder), F.array("item"), keep)
+
+
+def raw_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with none to three items each: a line's item once for each unit of its line
+    number modulo 4, and the quantity one more each time."""
+    records = raw_item_records(spark, folder, "l_linenumber")
+    units = F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda i: i <= F.col("l_linenumber") % 4)
+    one = F.col("items")[0]
+    bundle = F.transform(units, lambda i: one.withField("quantity", one["quantity"] + i))
+    return records.withColumn("items", bundle).drop("l_linenumber")
 
 
-def events(spark: SparkSession, folder: str, since: Day = None, until: Day = None,
+def events(spark: SparkSession, folder: str,
            wide: bool = False) -> DataFrame:
-    return flatten_events(raw_events(spark, folder, since, until), wide)
+    return flatten_events(raw_events(spark, folder), wide)
 
 
-def products(spark: SparkSession, folder: str, since: Day = None, until: Day = None,
+def products(spark: SparkSession, folder: str,
              wide: bool = False) -> DataFrame:
-    return explode_items(raw_item_records(spark, folder, since, until), wide)
+    return explode_items(raw_item_records(spark, folder), wide)
 
 
 def newusers(spark: SparkSession, folder: str) -> DataFrame:

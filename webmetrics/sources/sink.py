@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date
 
@@ -12,19 +11,20 @@ from pyspark.sql import functions as F
 
 from webmetrics.functions.scalar import ColumnLike, col
 from webmetrics.operators.flatten import prune
-from webmetrics.schema import CHUNK_ROWS, STORED_COLUMNS
+from webmetrics.schema import STORED_COLUMNS
 from webmetrics.sources.scan import has_table
 from webmetrics.spec import Day, as_day
 
 
-def write_parquet(df: DataFrame, path: str, rows_per_group: int = CHUNK_ROWS,
+def write_parquet(df: DataFrame, path: str, rows_per_group: int | None = None,
                   rows_per_file: int | None = None,
                   partition_by: tuple[str, ...] = (), replace: str = "all",
                   rebalance: bool = False) -> None:
-    """Snappy Parquet with at most ``rows_per_group`` rows in a row group.
+    """Snappy Parquet.
 
-    Row groups, not files, are the bounded unit: many small files would be slow to list and
-    open on a large table. ``rows_per_file`` cuts files as well where that is wanted.
+    Row groups are bounded by Parquet's byte size; ``rows_per_group`` (``CHUNK_ROWS`` is the
+    published choice) bounds their rows as well, which on a large table makes many small ones.
+    ``rows_per_file`` cuts files too where that is wanted.
     ``replace='all'`` overwrites the target; ``'partitions'`` only the partitions present in
     ``df``, e.g. one reloaded month.
 
@@ -34,33 +34,30 @@ def write_parquet(df: DataFrame, path: str, rows_per_group: int = CHUNK_ROWS,
     """
     if rebalance:
         df = df.hint("rebalance", *partition_by)
-    with _times_with_statistics(df.sparkSession):
-        _parquet_writer(df, rows_per_group, rows_per_file, partition_by, replace).parquet(path)
+    times_with_statistics(df.sparkSession)
+    _parquet_writer(df, rows_per_group, rows_per_file, partition_by, replace).parquet(path)
 
 
-@contextmanager
-def _times_with_statistics(spark: SparkSession):
-    """Store times as 64-bit microseconds: unlike the default type, these have minima and
-    maxima per row group, by which a time range skips data."""
-    name = "spark.sql.parquet.outputTimestampType"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "TIMESTAMP_MICROS")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def times_with_statistics(spark: SparkSession) -> None:
+    """Let the session store times as 64-bit microseconds: unlike the default type, these have
+    minima and maxima per row group, by which a time range skips data.
+
+    Set for good, since switching it back would reach loads that run at the same time.
+    """
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
 
 
-def _parquet_writer(df: DataFrame, rows_per_group: int, rows_per_file: int | None,
+def _parquet_writer(df: DataFrame, rows_per_group: int | None, rows_per_file: int | None,
                     partition_by: tuple[str, ...], replace: str) -> DataFrameWriter:
     if replace not in ("all", "partitions"):
         raise ValueError("replace must be 'all' or 'partitions'")
     writer = (
         df.write.format("parquet").mode("overwrite")
         .option("compression", "snappy")
-        .option("parquet.block.row.count.limit", rows_per_group)
         .option("partitionOverwriteMode", "static" if replace == "all" else "dynamic")
     )
+    if rows_per_group:
+        writer = writer.option("parquet.block.row.count.limit", rows_per_group)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     return writer.partitionBy(*partition_by) if partition_by else writer
@@ -86,10 +83,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def append_table(df: DataFrame, name: str, location: str | None = None) -> None:
     """Append rows, matching columns by name; the first call creates the table."""
     spark = df.sparkSession
+    times_with_statistics(spark)
     if has_table(spark, name):
         df.select(*spark.table(name).columns).write.insertInto(name)
         return
-    writer = df.write.format("parquet")
+    writer = _parquet_writer(df, None, None, (), "all").mode("errorifexists")
     (writer.option("path", location) if location else writer).saveAsTable(name)
 
 
@@ -104,11 +102,11 @@ class RowCount:
         try:
             return self.observation.get["rows"]
         except Py4JJavaError as error:
-            # AQE drops what lies before an empty shuffle, the counter included; Spark then
-            # reports a row without values.
-            if "AssertionError" in str(error.java_exception):
-                return 0
-            raise
+            # AQE drops what lies before an empty shuffle, the counter included; Spark then has
+            # a row without values and asserts. An action that failed has raised before this.
+            if error.java_exception.getClass().getName() != "java.lang.AssertionError":
+                raise
+            return 0
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, RowCount]:
@@ -164,11 +162,11 @@ def build_warehouse(spark: SparkSession, events: DataFrame, products: DataFrame,
         days = (day,) if layout.by_day else ()
         if name in layout.rebalance:
             pruned = pruned.hint("rebalance", *days)
-        writer = _parquet_writer(pruned, CHUNK_ROWS, None, days, "all")
+        writer = _parquet_writer(pruned, None, None, days, "all")
         if layout.location:
             writer = writer.option("path", f"{layout.location}/{name}")
-        with _times_with_statistics(spark):
-            writer.saveAsTable(layout.table(name))
+        times_with_statistics(spark)
+        writer.saveAsTable(layout.table(name))
         built.append(name)
     return built
 
