@@ -479,3 +479,24 @@ def test_cursor_is_the_same_in_any_driver_zone(spark, monkeypatch):
         time.tzset()
     assert shown == [t[11:] for t in reversed(times)]
     df.unpersist()
+
+
+@pytest.mark.parametrize("spec", [ALL, FilterSpec(mediums=("cpc",))])
+def test_product_cursors_visit_every_row_once(spark, spec):
+    noon = "TIMESTAMP '2021-01-05 12:00:00'"
+    rows = spark.range(30).selectExpr(
+        "DATE '2021-01-05' AS event_date", "'purchase' AS event_name",
+        f"{noon} + make_dt_interval(0, 0, 0, id div 7) AS event_datetime", "CAST(id % 9 AS STRING) AS item_id",
+        "concat('cup ', id % 5) AS item_name", "IF(id % 3 = 0, NULL, 'mug') AS item_brand",
+        "CAST(NULL AS STRING) AS item_category", "1.5D AS item_price", "id % 2 AS item_quantity",
+        "1.5D * (id % 2) AS item_total_revenue", "CAST(id % 4 AS STRING) AS user_pseudo_id")
+    bought = rows.unionByName(rows.where("user_pseudo_id = '1'"))  # rows that repeat
+    visits = bought.where("user_pseudo_id != '3'").selectExpr(
+        "event_date", "event_datetime", "event_name", "user_pseudo_id", "'JAPAN' AS country", "'cpc' AS traffic_medium",
+        "'' AS traffic_source", "'' AS campaign_name")
+    whole = product_report.products_page(bought, visits, spec, 0, 100).drop("page_count").collect()
+    seen, cursor = [], None
+    while page := product_report.products_page_after(bought, visits, spec, cursor, 4).collect():
+        seen += [tuple(r)[:-1] for r in page]
+        cursor = ordering.Cursor.after([r.sort_values for r in page], cursor)
+    assert seen == [tuple(r) for r in whole] and len(seen) > 20
