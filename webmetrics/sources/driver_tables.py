@@ -7,6 +7,7 @@ the event stream, except that item records join line items and parts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from webmetrics.operators.flatten import explode_items, flatten_events
 from webmetrics.operators.newusers import build_new_users
 from webmetrics.schema import NOT_SET, RAW_EVENT_SCHEMA
+from webmetrics.spec import Day, as_day
 
 EVENT_NAMES = {
     "signup": "first_visit",
@@ -59,8 +61,17 @@ def _null(dtype: DataType) -> Column:
     return F.lit(None).cast(dtype)
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").drop("props").withColumn("item_key", F.col("event_id"))
+def _stream(spark: SparkSession, folder: str, since: Day, until: Day) -> DataFrame:
+    """The event stream in a day range; the range reaches the scan as a filter on ``ts``.
+
+    The registered queries give no range: their dates are for the library's own filters.
+    """
+    stream = table(spark, folder, "events")
+    if since is not None:
+        stream = stream.where(F.col("ts") >= F.lit(as_day(since)))
+    if until is not None:
+        stream = stream.where(F.col("ts") < F.lit(as_day(until) + timedelta(days=1)))
+    return stream.drop("props").withColumn("item_key", F.col("event_id"))
 
 
 def _with_twins(stream: DataFrame) -> DataFrame:
@@ -134,9 +145,10 @@ def _nest(stream: DataFrame, geography: DataFrame, items: Column, keep: Sequence
     ])
 
 
-def raw_events(spark: SparkSession, folder: str) -> DataFrame:
+def raw_events(spark: SparkSession, folder: str, since: Day = None,
+               until: Day = None) -> DataFrame:
     """All records, items left empty: what event and new-user reports read."""
-    stream = _with_twins(_stream(spark, folder))
+    stream = _with_twins(_stream(spark, folder, since, until))
     empty = F.array().cast(_item_list())
     return _nest(stream, _geography(spark, folder), empty)
 
@@ -163,13 +175,14 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
         .select("l_orderkey", "l_linenumber", item.alias("item"))
 
 
-def raw_item_records(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+def raw_item_records(spark: SparkSession, folder: str, since: Day = None, until: Day = None,
+                     keep: Sequence[str] = ()) -> DataFrame:
     """Records that carry items, one item per record: what product reports read.
 
     Unnested, they give the same rows as records with full item lists, but no list has to be
     collected, however many line items one event has.
     """
-    stream = _stream(spark, folder).withColumn("twin", F.lit(False))
+    stream = _stream(spark, folder, since, until).withColumn("twin", F.lit(False))
     items = _items(spark, folder)
     bought = stream.join(items, stream.event_id == items.l_orderkey)
     return _nest(bought, _geography(spark, folder), F.array("item"), keep)
@@ -178,21 +191,21 @@ def raw_item_records(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
 def raw_bundles(spark: SparkSession, folder: str) -> DataFrame:
     """Records with none to three items each: a line's item once for each unit of its line
     number modulo 4, and the quantity one more each time."""
-    records = raw_item_records(spark, folder, "l_linenumber")
+    records = raw_item_records(spark, folder, keep=["l_linenumber"])
     units = F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda i: i <= F.col("l_linenumber") % 4)
     one = F.col("items")[0]
     bundle = F.transform(units, lambda i: one.withField("quantity", one["quantity"] + i))
     return records.withColumn("items", bundle).drop("l_linenumber")
 
 
-def events(spark: SparkSession, folder: str,
+def events(spark: SparkSession, folder: str, since: Day = None, until: Day = None,
            wide: bool = False) -> DataFrame:
-    return flatten_events(raw_events(spark, folder), wide)
+    return flatten_events(raw_events(spark, folder, since, until), wide)
 
 
-def products(spark: SparkSession, folder: str,
+def products(spark: SparkSession, folder: str, since: Day = None, until: Day = None,
              wide: bool = False) -> DataFrame:
-    return explode_items(raw_item_records(spark, folder), wide)
+    return explode_items(raw_item_records(spark, folder, since, until), wide)
 
 
 def newusers(spark: SparkSession, folder: str) -> DataFrame:
