@@ -84,58 +84,61 @@ ITEM_FIELDS = {
     "store_affiliation": "affiliation",
 }
 
-WIDE_EVENT_COLUMNS = (
-    "event_date event_datetime event_name event_previous_timestamp event_value_in_usd "
-    "user_pseudo_id user_first_touch_timestamp country region city sub_continent continent "
-    "metro_area device_type os os_version browser browser_version device_language "
-    "mobile_brand mobile_model campaign_name traffic_medium traffic_source "
-    "total_items_count total_purchase_revenue transaction_id unique_items_count"
-).split()
-EVENT_WIDE_ONLY = (
-    "event_previous_timestamp user_first_touch_timestamp metro_area os_version "
-    "browser_version mobile_model"
-).split()
-
-WIDE_PRODUCT_COLUMNS = (
-    "event_date user_pseudo_id event_datetime event_name item_id item_name item_brand "
-    "item_variant item_category item_category2 item_category3 item_category4 item_category5 "
-    "item_price item_quantity item_total_revenue item_reported_revenue item_refund_amount "
-    "item_coupon_code store_affiliation location_id"
-).split()
-PRODUCT_WIDE_ONLY = (
-    "item_category3 item_category4 item_category5 item_refund_amount"
-).split()
-
-FIRST_VISIT_DIMENSIONS = (
-    "country region city continent device_type os browser device_language mobile_brand "
-    "campaign_name traffic_medium traffic_source"
-).split()
+WIDE_EVENT_COLUMNS = [
+    "event_date", "event_datetime", "event_name", "event_previous_timestamp",
+    "event_value_in_usd", "user_pseudo_id", "user_first_touch_timestamp", "country", "region",
+    "city", "sub_continent", "continent", "metro_area", "device_type", "os", "os_version",
+    "browser", "browser_version", "device_language", "mobile_brand", "mobile_model",
+    "campaign_name", "traffic_medium", "traffic_source", "total_items_count",
+    "total_purchase_revenue", "transaction_id", "unique_items_count",
+]
+EVENT_WIDE_ONLY = [
+    "event_previous_timestamp", "user_first_touch_timestamp", "metro_area", "os_version",
+    "browser_version", "mobile_model",
+]
+
+WIDE_PRODUCT_COLUMNS = [
+    "event_date", "user_pseudo_id", "event_datetime", "event_name", "item_id", "item_name",
+    "item_brand", "item_variant", "item_category", "item_category2", "item_category3",
+    "item_category4", "item_category5", "item_price", "item_quantity", "item_total_revenue",
+    "item_reported_revenue", "item_refund_amount", "item_coupon_code", "store_affiliation",
+    "location_id",
+]
+PRODUCT_WIDE_ONLY = [
+    "item_category3", "item_category4", "item_category5", "item_refund_amount",
+]
+
+FIRST_VISIT_DIMENSIONS = [
+    "country", "region", "city", "continent", "device_type", "os", "browser", "device_language",
+    "mobile_brand", "campaign_name", "traffic_medium", "traffic_source",
+]
 
 # What the stored tables keep: only columns that a report reads.
 STORED_COLUMNS = {
-    "events": (
-        "event_date event_datetime event_name country device_type traffic_medium "
-        "traffic_source campaign_name transaction_id total_purchase_revenue user_pseudo_id"
-    ).split(),
-    "products": (
-        "event_date event_datetime event_name item_id item_name item_brand item_category "
-        "item_price item_quantity item_total_revenue user_pseudo_id"
-    ).split(),
-    "newusers": (
-        "first_visit_date country continent device_type os traffic_medium traffic_source "
-        "campaign_name did_purchase purchase_revenue_total purchase_count "
-        "days_to_first_purchase"
-    ).split(),
+    "events": [
+        "event_date", "event_datetime", "event_name", "country", "device_type", "traffic_medium",
+        "traffic_source", "campaign_name", "transaction_id", "total_purchase_revenue",
+        "user_pseudo_id",
+    ],
+    "products": [
+        "event_date", "event_datetime", "event_name", "item_id", "item_name", "item_brand",
+        "item_category", "item_price", "item_quantity", "item_total_revenue", "user_pseudo_id",
+    ],
+    "newusers": [
+        "first_visit_date", "country", "continent", "device_type", "os", "traffic_medium",
+        "traffic_source", "campaign_name", "did_purchase", "purchase_revenue_total",
+        "purchase_count", "days_to_first_purchase",
+    ],
 }
 
-EVENT_TABLE_COLUMNS = (
-    "event_date event_datetime event_name country device_type traffic_medium "
-    "traffic_source campaign_name transaction_id total_purchase_revenue"
-).split()
-PRODUCT_TABLE_COLUMNS = (
-    "event_date event_name item_id item_name item_brand item_category item_price "
-    "item_quantity item_total_revenue"
-).split()
+EVENT_TABLE_COLUMNS = [
+    "event_date", "event_datetime", "event_name", "country", "device_type", "traffic_medium",
+    "traffic_source", "campaign_name", "transaction_id", "total_purchase_revenue",
+]
+PRODUCT_TABLE_COLUMNS = [
+    "event_date", "event_name", "item_id", "item_name", "item_brand", "item_category",
+    "item_price", "item_quantity", "item_total_revenue",
+]
 
 FUNNEL_STAGES = ("view_item", "add_to_cart", "begin_checkout", "purchase")
 NOT_SET = "(not set)"
