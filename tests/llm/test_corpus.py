@@ -266,6 +266,23 @@ def test_pii_patterns(spark):
     assert [s["value"] for s in found[2] if s["kind"] == "card"] == ["4111 1111 1111 1111"] and found[5] == []
 
 
+def test_pii_terms_stand_everywhere(spark):
+    """A revealing word has spans wherever it stands: far from the entity, on other lines, in texts without one."""
+    texts = [(i, f"note {w} from Ann of x7 springfield writes bob@example.com now\nplain line {i}") for i, w in enumerate(WORDS)]
+    texts += [(i + 100, f"common writes note from of now plain line {w}") for i, w in enumerate(WORDS * 4)]
+    texts += [(900, "far " * 60 + "Springfield\n\nann, annex x7 bob@example.com"), (901, "springfield"), (None, "ann")]
+    found = {r["doc_id"]: r["terms"] for r in pii.find_pii(docs(spark, texts), remove=2.0).collect()}
+    terms = {i: [t[s["start"] : s["end"]] for s in found[i]] for i, t in texts}
+    assert terms[3] == ["Ann", "x7", "springfield"] and terms[900] == ["Springfield", "ann", "x7"] and terms[901] == ["springfield"]
+    assert not terms[100] and not terms[None]
+
+
+def test_pii_words_at_the_reach_are_whole(spark):
+    texts = [(i, f"{w} in Springfield {'.' * 72} bob@example.com {'.' * 76} Shelbyville") for i, w in enumerate(WORDS)]
+    texts += [(i + 100, "field of common words shel") for i in range(3)]
+    assert not any(r["terms"] for r in pii.find_pii(docs(spark, texts)).collect())
+
+
 # 8: packing
 
 
