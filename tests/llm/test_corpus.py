@@ -1,9 +1,11 @@
 """Operators against brute force, and on edge frames."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import random
 import re
 import urllib.parse
@@ -132,6 +134,30 @@ def test_secrets_base_stays(spark):
     assert secrets.find_secrets(edges(spark)).count() == 15 and secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_in_damaged_and_glued_layers():
+    plain = "password=abcdefghijklmnop"
+    code = lambda b: base64.b64encode(b).decode()
+    spans = lambda text: [s for s in secrets.spans_of(text) if s[3]]
+    for odd in ("\u00a0", "\ufeff", "\u200b", "\u00ad", "\0"):
+        text = code(f"{odd}{plain} {odd}".encode())
+        assert ("assign", 0, len(text), "base64") in spans(text)
+    for raw in (b"\xff" + plain.encode(), plain.encode("utf-16"), plain.encode("utf-16-be")):
+        assert "assign" in {s[0] for s in spans(code(raw))}
+    for glue in ("x/", "ab-", "abc_", "http://host/api/v1/", "a/b/c/d/e/"):
+        for body in (code(plain.encode()), code(gzip.compress(plain.encode()))):
+            found = spans(glue + body)
+            assert any(k == "assign" and b == len(glue + body) for k, _, b, _ in found), (glue, body)
+    assert ("assign", 2, 2 + len(code(plain.encode())), "base64") in spans("x/" + code(plain.encode()))
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        text = code(pack(b"nothing here\n") + pack(b"nor here\n") + pack(plain.encode()))
+        assert [s[:3] for s in spans(text)] == [("assign", 0, len(text))]
+    lines = code(b"0123456789" * 5 + plain.encode() + b" and so on" * 9)
+    wrapped = "\n".join(lines[k : k + 76] for k in range(0, len(lines), 76))
+    assert ("assign", 5, 5 + len(wrapped), "base64") in spans("key: " + wrapped + "\nend of it")
+    assert ("assign", 0, 3 * len(plain) + 3, "url") in [(k, a, b + 3, p) for k, a, b, p in spans("".join(f"%{c:02x}" for c in plain.encode()) + "%ff")]
+    assert not spans("wordwordwordwordword/another-long_word " * 3 + "deadbeefdeadbeef " + "ab/" * 2000)
+
+
 # 4: benchmark
 
 

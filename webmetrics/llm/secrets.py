@@ -31,6 +31,11 @@ _HEX = re.compile(HEX)
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that goes on over lines which hold nothing else; the last may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,}+)*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++={0,2})(?=[\x20\t]*\r?(?:\n|\Z))")
+_BREAK = re.compile(r"\s+")
+#: Where compressed data may begin behind other bytes.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 #: Bytes of a decompressed layer that are read at once; layers are cut at line ends only.
 _PIECE = 1 << 20
 
@@ -78,17 +83,19 @@ def _lines_with(text: str, pattern: re.Pattern[str]) -> Iterator[tuple[int, int]
 
 
 def _percent(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
-    """Characters of a run of percent escapes, each with its place in the run; None if it is no UTF-8."""
-    try:
-        decoded = bytes.fromhex(m.group().replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
+    """Characters of a run of percent escapes, each with its place in the run; bytes that are no UTF-8 stay escapes."""
+    decoded = bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "surrogateescape")
+    out, at, good = [], 0, False
     for c in decoded:
+        if "\udc80" <= c <= "\udcff":
+            out += [(m.group()[k], k, k + 1) for k in range(at, at + 3)]
+            at += 3
+            continue
         size = 3 * len(c.encode())
         out.append((c, at, at + size))
         at += size
-    return out
+        good = True
+    return out if good else None
 
 
 def _escape(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
@@ -138,7 +145,10 @@ def _decompressor(raw: bytes):
 
 
 def _decompressed(raw: bytes, engine) -> Iterator[str]:
-    """The content in stretches that end where lines end; damaged data yields what could be read."""
+    """The content in stretches that end where lines end; damaged data yields what could be read.
+
+    What follows the end of a stream is another one, whose content goes on with the text, or plain bytes.
+    """
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     rest, data = "", raw
     while True:
@@ -151,6 +161,10 @@ def _decompressed(raw: bytes, engine) -> Iterator[str]:
             yield rest[:cut]
             rest = rest[cut:]
         if engine.eof:
+            data = engine.unused_data.lstrip(b"\0")  # padding
+            if engine := _decompressor(data):
+                continue
+            rest += decoder.decode(data)
             break
         data = getattr(engine, "unconsumed_tail", b"")
         if not part and not data:
@@ -159,27 +173,78 @@ def _decompressed(raw: bytes, engine) -> Iterator[str]:
         yield rest
 
 
-def _unpacked(layer: _Layer) -> Iterator[_Layer]:
-    """What runs of base64 hold, as text or compressed."""
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.range(m.start(), m.end())
-        if engine := _decompressor(raw):
+def _texts(raw: bytes) -> Iterator[str]:
+    """What bytes may say: UTF-8 with what is none replaced, and UTF-16 of either order if there are NULs."""
+    yield raw.decode("utf-8", "replace")
+    if b"\0" in raw:
+        for order in ("utf-16-le", "utf-16-be"):
+            yield raw.decode(order, "replace")
+
+
+def _plain(c: str) -> bool:
+    return c.isprintable() or c in "\r\n\t"
+
+
+def _aligned(body: str, at: int) -> bytes:
+    """Bytes of a run of base64 read from its character `at` on."""
+    size = len(body) - at
+    size -= size % 4 == 1
+    return base64.b64decode(body[at : at + size] + "=" * (-size % 4))
+
+
+def _clean_from(body: str, at: int, raw: bytes) -> int | None:
+    """The first character, 0 or behind a separator, from which on alignment `at` gives nothing but plain text."""
+    text = raw.decode("utf-8", "surrogateescape")
+    tail = next((k for k in range(len(text), 0, -1) if not _plain(text[k - 1])), 0)
+    least = len(text[:tail].encode("utf-8", "surrogateescape"))
+    k = at - 1 + (least + 2) // 3 * 4
+    if k < 0:
+        return 0
+    while k + 16 < len(body):
+        if body[k] in "+/" and (k + 1 - at) % 4 == 0:
+            return k + 1
+        k += 4
+    return None
+
+
+def _packed(body: str, path: str, whole) -> Iterator[_Layer]:
+    """Layers of one run of base64; `whole` gives the range of characters of it.
+
+    Where a run is no clean text from its first character on, other text may be glued to it: then all four alignments are
+    read, as far as they decode, and compressed data is looked for anywhere.
+    """
+    body = body.replace("-", "+").replace("_", "/")
+    for at in range(4):
+        raw = _aligned(body, at)
+        begin = _clean_from(body, at, raw)
+        if begin is not None:
+            yield _Layer(raw[(begin - at) // 4 * 3 :].decode("utf-8", "replace"), None, None, whole(begin), f"{path}/base64")
+            if begin == 0:
+                return
+            raw = raw[: (begin - at) // 4 * 3]
+        elif at == 0 and (engine := _decompressor(raw)):
+            parts = False
             for text in _decompressed(raw, engine):
-                yield _Layer(text, None, None, whole, f"{layer.path}/base64/compressed")
-        else:
-            try:
-                text = raw.decode()
-            except UnicodeDecodeError:
-                continue
-            if all(c.isprintable() or c in "\r\n\t" for c in text):
-                yield _Layer(text, None, None, whole, f"{layer.path}/base64")
+                parts = True
+                yield _Layer(text, None, None, whole(0), f"{path}/base64/compressed")
+            if parts:
+                return
+        for text in _texts(raw):
+            yield _Layer(text, None, None, whole(0), f"{path}/base64")
+        for m in _MAGIC.finditer(raw):
+            if engine := _decompressor(raw[m.start() :]):
+                for text in _decompressed(raw[m.start() :], engine):
+                    yield _Layer(text, None, None, whole(at + m.start() // 3 * 4), f"{path}/base64/compressed")
+
+
+def _unpacked(layer: _Layer) -> Iterator[_Layer]:
+    """What runs of base64 hold, as text or compressed; also runs over several lines, first as one."""
+    for pattern in (_WRAPPED, _BASE64):
+        for m in pattern.finditer(layer.text):
+            body = _BREAK.sub("", m.group()).rstrip("=")
+            # Where white space was taken out, the range begins with the run.
+            one = pattern is _BASE64
+            yield from _packed(body, layer.path, lambda k, m=m, one=one: layer.range(m.start() + (k if one else 0), m.end()))
 
 
 def _below(layer: _Layer) -> Iterator[_Layer]:
