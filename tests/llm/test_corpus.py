@@ -100,6 +100,12 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_on_request(spark):
+    texts = [(1, "one\n\nhttp://x/y\n \nto be to be"), (2, "ONE\n\n\t\nhttp://x/y\nbe to"), (3, "two")]
+    found = line_dedup.repeated_lines(docs(spark, texts).select("doc_id", "text"), least=1)
+    assert set(rows(found, "doc_id", "line")) == {(2, 0), (2, 3), (2, 4)}
+
+
 def test_lines_use_no_python(spark):
     plan = line_dedup.dedup_lines(docs(spark, [(1, "a b c d e f")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

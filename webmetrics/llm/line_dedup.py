@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut, free_name
 
 PERCENT = 80
-#: Lines with fewer different words, such as headings, are left alone.
+#: Lines with fewer different words are left alone, exact copies too, as the query's SQL has it.
 LEAST_WORDS = 5
 #: Counters of word frequency, whatever the vocabulary is.
 COUNTERS = 1 << 19
@@ -103,7 +103,7 @@ def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """(doc_id, line, n, k1, k2, sketch, start): each line's set by a 128-bit key, and its first words."""
     levels = _levels(docs)
     keys = _keys(_words(F.col("body")), levels)
-    rows = _lines(docs).select("doc_id", "line", keys.alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least)
+    rows = _lines(docs).select("doc_id", "line", "body", keys.alias("keys")).withColumn("n", F.size("keys")).where((F.col("n") >= least) & F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]"))
     flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key % 64))
     start = F.slice("keys", 1, F.col("n") - _at_least(percent, 100, F.col("n")) + _common(F.col("n")))
     return rows.select(
@@ -210,7 +210,7 @@ def dedup_lines(
     Lines end at line feeds. A line's words are what other ASCII white space parts, in lower case, each counted
     once. A line goes if an earlier one (by id, then line number) is alike: 100 times the words in both is at least
     `percent` times the words in either, whether that earlier line stays or not. Lines with fewer than `least`
-    different words stay. A text of which nothing is left is empty.
+    different words stay, and blank lines whatever `least` is; 1 treats all other lines alike. A text of which nothing is left is empty.
 
     Null texts and rows with a null id stay as they are. Rows that repeat an id and text keep the same lines. A
     column named `removed_column` is replaced; others, whatever their names, stay.
