@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, manifest_sql, merkle, ngram_join, packing, pii, quality, secrets, toxicity
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.transform("terms", lambda s: F.struct(F.lit(pii.TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     counts = [_count(base, kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.concat(base, terms)).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_merkle_manifest"] = manifest_sql.AUDIT
