@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, manifest_sql, merkle, ngram_join, packing, pii, quality, secrets, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, manifest_sql, merkle, ngram_join, packing, pii, quality, secrets, toxicity, warc
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,22 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_merkle_manifest"] = manifest_sql.AUDIT
+
+
+@_query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+ORACLE["op13_warc"] = r"""
+WITH body AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS digest FROM pages
+),
+held AS (
+  SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS holder FROM body
+)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+       CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM held
+"""
