@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, manifest_sql, merkle, ngram_join, packing, pii, quality, secrets, toxicity, warc
+from . import collocations, decontamination, exact_dedup, language_id, line_dedup, manifest_sql, merkle, ngram_join, packing, pii, quality, secrets, toxicity, warc
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,45 @@ SELECT page_id, size AS payload_bytes, digest AS payload_digest,
        CASE WHEN holder <> page_id THEN holder END AS refers_to
 FROM held
 """
+
+
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS body
+  FROM documents
+),
+bag AS (SELECT lang, list_filter(string_split_regex(body, '[ 	]+'), lambda w: w <> '') AS words FROM piece),
+sizes AS (SELECT lang, sum(len(words)) AS n FROM bag GROUP BY lang),
+gram AS (
+  SELECT lang, list_slice(words, b, b + k - 1) AS g
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS b FROM bag, (VALUES (1), (2), (3), (4)) AS size (k))
+),
+often AS (SELECT lang, g, count(*) AS f FROM gram GROUP BY lang, g HAVING count(*) >= 30),
+candidate AS (SELECT lang, g, f AS a FROM often WHERE len(g) >= 2),
+inside AS (
+  SELECT lang, list_slice(g, b, b + k - 1) AS g, max(a) AS longest
+  FROM (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS b FROM candidate, (VALUES (2), (3)) AS size (k) WHERE k < len(g))
+  GROUP BY ALL
+),
+cut AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidate) c
+  JOIN often x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.k) JOIN often y ON y.lang = c.lang AND y.g = list_slice(c.g, c.k + 1, len(c.g))
+),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT w.*, array_to_string(w.g, ' ') AS phrase,
+         row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(array_to_string(w.g, ' '))) AS rank
+  FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.g = w.g
+  WHERE i.longest IS NULL OR 100 * i.longest < 80 * w.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
