@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -13,6 +14,7 @@ from webmetrics.functions.scalar import ColumnLike, col
 from webmetrics.operators.flatten import prune
 from webmetrics.schema import STORED_COLUMNS
 from webmetrics.sources.scan import has_table
+from webmetrics.sources.versions import Spec, Version, base_folder, write_version
 from webmetrics.spec import Day, as_day
 
 
@@ -63,16 +65,15 @@ def _parquet_writer(df: DataFrame, rows_per_group: int | None, rows_per_file: in
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
-def drop_partitions(spark: SparkSession, path: str, column: str, low: str, high: str,
-                    keep: set[str]) -> None:
-    """Remove folders ``column=value`` under ``path`` with low <= value <= high, but for ``keep``."""
+def drop_partitions(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> None:
+    """Remove those folders ``column=value`` under ``path`` whose value is ``gone``."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(root):
         return
     for status in files.listStatus(root):
         name, _, value = status.getPath().getName().partition("=")
-        if name == column and low <= value <= high and value not in keep:
+        if name == column and gone(value):
             files.delete(status.getPath(), True)
 
 
@@ -115,6 +116,53 @@ def counted(df: DataFrame) -> tuple[DataFrame, RowCount]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), RowCount(seen)
 
 
+@dataclass(frozen=True)
+class DayCount(RowCount):
+    """Rows and the day shards (``YYYYMMDD``) that passed a point of a plan."""
+
+    first: date
+
+    @property
+    def shards(self) -> set[str]:
+        if self.rows == 0:
+            return set()
+        bits = self.observation.get["days"]
+        days = (8 * at + bit for at, byte in enumerate(bits or b"") for bit in range(8) if byte >> bit & 1)
+        return {date.fromordinal(self.first.toordinal() + n).strftime("%Y%m%d") for n in days}
+
+
+def counted_days(df: DataFrame, shard: str, first: str) -> tuple[DataFrame, DayCount]:
+    """Count rows and collect their day shards, a bit for each day from ``first`` on, while an action reads them.
+
+    For the 32,768 days that Spark's bitmaps have bits for. Shards that are not named by a day
+    are counted but not listed.
+    """
+    seen, day = Observation(), date(int(first[:4]), int(first[4:6]), int(first[6:8]))
+    named = F.try_to_timestamp(F.col(shard), F.lit("yyyyMMdd")).cast("date")
+    at = F.datediff(named, F.lit(day)) + 1  # bitmaps count from 1
+    return df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("days"),
+    ), DayCount(seen, day)
+
+
+def extract_shards(name: str, df: DataFrame, path: str, start: str, end: str, shard: str = "table_suffix",
+                   rebalance: bool = False, **write_options) -> int:
+    """Replace the day shards from ``start`` to ``end`` by those of ``df``, in one pass over it.
+
+    Shards of the range that ``df`` has no rows for are emptied. Returns the rows written.
+    """
+    df.sparkSession.sparkContext.setJobDescription(f"extract {name}")
+    watched, seen = counted_days(df.hint("rebalance", shard) if rebalance else df, shard, start)
+    try:
+        write_parquet(watched, path, partition_by=(shard,), replace="partitions", **write_options)
+    finally:
+        df.sparkSession.sparkContext.setJobDescription(None)
+    delivered = seen.shards
+    drop_partitions(df.sparkSession, path, shard, lambda value: (
+        start <= value <= end and len(value) == 8 and value.isdigit() and value not in delivered))
+    return seen.rows
+
+
 def extract(name: str, df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
             rebalance: bool = False, **write_options) -> int:
     """Write one table and return the rows written, without a second pass over the data."""
@@ -145,30 +193,48 @@ class StoreLayout:
     def table(self, name: str) -> str:
         return f"{self.database}.{name}" if self.database else name
 
+    def folder(self, spark: SparkSession) -> str:
+        return self.location or base_folder(spark, self.database)
+
 
 _DAY_COLUMN = {"events": "event_date", "products": "event_date", "newusers": "first_visit_date"}
 
 
+def stage_table(df: DataFrame, name: str, layout: StoreLayout = StoreLayout(), shard: str | None = None,
+                keep: Callable[[Spec], bool] | None = None, columns: Sequence[str] | None = None) -> Version:
+    """Write the next version of a stored table; readers see it after its ``switch()``.
+
+    ``shard`` names a further column that splits the table, so that a reloaded shard can replace its
+    rows of whatever day. ``keep`` tells which partitions of the current version stay.
+    """
+    spark = df.sparkSession
+    split = [_DAY_COLUMN[name]] if layout.by_day and name in _DAY_COLUMN else []
+    split += [shard] if shard else []
+
+    def write(rows: DataFrame, path: str) -> None:
+        rows = rows.hint("rebalance", *split) if name in layout.rebalance else rows
+        times_with_statistics(spark)
+        _parquet_writer(rows, None, None, tuple(split), "all").parquet(path)
+
+    return write_version(df, layout.table(name), layout.folder(spark), split, columns, keep, write)
+
+
 def build_warehouse(spark: SparkSession, events: DataFrame, products: DataFrame,
                     newusers: DataFrame | None = None,
                     layout: StoreLayout = StoreLayout()) -> list[str]:
-    """Create or replace the pruned report tables; returns the names that were built."""
-    built = []
-    for name, df in (("events", events), ("products", products), ("newusers", newusers)):
-        if df is None:
-            continue
-        day = _DAY_COLUMN[name]
-        pruned = prune(df, STORED_COLUMNS[name])
-        days = (day,) if layout.by_day else ()
-        if name in layout.rebalance:
-            pruned = pruned.hint("rebalance", *days)
-        writer = _parquet_writer(pruned, None, None, days, "all")
-        if layout.location:
-            writer = writer.option("path", f"{layout.location}/{name}")
-        times_with_statistics(spark)
-        writer.saveAsTable(layout.table(name))
-        built.append(name)
-    return built
+    """Create or replace the pruned report tables; returns the names that were built.
+
+    All are written before the first is replaced, so readers have whole tables at any time, and
+    the old ones when a build fails.
+    """
+    frames = {"events": events, "products": products, "newusers": newusers}
+    staged = {
+        name: stage_table(prune(df, STORED_COLUMNS[name]), name, layout)
+        for name, df in frames.items() if df is not None
+    }
+    for version in staged.values():
+        version.switch()
+    return list(staged)
 
 
 def ensure_warehouse(spark: SparkSession, load, layout: StoreLayout = StoreLayout()) -> list[str]:
