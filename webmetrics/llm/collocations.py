@@ -36,7 +36,10 @@ SLICE_BYTES = 1 << 22
 # A word's number: 20 bits of the task, 14 of its shards, 29 of the shard's words.
 _TASK_BITS, _WORD_BITS = 14, 29
 
-_SHARDS = ("shard long, langs array<string>, words array<string>, counts array<long>, forward binary, backward binary")
+#: Phrases that end in the same word are dealt to so many parts by the word before it.
+_PARTS = 16
+
+_SHARDS = "shard long, langs array<string>, words array<string>, counts array<long>, sizes binary, forward binary, backward binary"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -88,7 +91,7 @@ class _Shard:
         words = np.concatenate([np.array([BREAK], np.int32), *self.parts])
         counts = np.bincount(words, minlength=len(self.numbers) + 1)
         langs, names = zip(*self.numbers) if self.numbers else ((), ())
-        return {"shard": shard, "langs": langs, "words": names, "counts": counts.tolist(),
+        return {"shard": shard, "langs": langs, "words": names, "counts": counts.tolist(), "sizes": _packed(counts),
                 "forward": _packed(transform(words)), "backward": _packed(transform(words[::-1]))}
 
 
@@ -107,7 +110,7 @@ def shards(docs: DataFrame) -> DataFrame:
     """Indexes of all words of `docs`, kept in the shared folder: a row a shard."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())),
-                            ("counts", pa.list_(pa.int64())), ("forward", pa.binary()), ("backward", pa.binary())])
+                            ("counts", pa.list_(pa.int64())), ("sizes", pa.binary()), ("forward", pa.binary()), ("backward", pa.binary())])
         task, shard, made = TaskContext.get().partitionId(), _Shard(), 0
 
         def done() -> pa.RecordBatch:
@@ -130,13 +133,14 @@ def shards(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(build, _SHARDS), "shards")
 
 
-def _frequent(rows: DataFrame, least: int, *key: str) -> DataFrame:
-    """Rows of keys that have `least` occurrences in all shards together, with the `total`.
+def _everywhere(*key: str) -> Window:
+    """All rows of a key; it has one row a shard at most. Rows are sorted by a hash first, which is quick."""
+    return Window.partitionBy(F.xxhash64(*key), *key)
 
-    A key has one row a shard at most.
-    """
-    everywhere = Window.partitionBy(*key)
-    return rows.withColumn("total", F.sum("n").over(everywhere)).where(F.col("total") >= least)
+
+def _frequent(rows: DataFrame, least: int, *key: str) -> DataFrame:
+    """Rows of keys that have `least` occurrences in all shards together, with the `total`."""
+    return rows.withColumn("total", F.sum("n").over(_everywhere(*key))).where(F.col("total") >= least)
 
 
 def _pairs_of_shard(index: pa.Table, words: pa.Table) -> pa.Table:
@@ -144,7 +148,7 @@ def _pairs_of_shard(index: pa.Table, words: pa.Table) -> pa.Table:
     schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("shard", pa.int64()), ("pair", pa.int64()), ("n", pa.int64())])
     if not index.num_rows or not words.num_rows:
         return schema.empty_table()
-    counts = index["counts"][0].values.to_numpy()
+    counts = _unpacked(index["sizes"][0].as_py())
     fm = Index(counts, _unpacked(index["forward"][0].as_py()))
     number = np.full(len(counts), -1, np.int64)
     number[words["local"].to_numpy()] = words["word"].to_numpy()
@@ -161,7 +165,7 @@ def _longer_of_shard(index: pa.Table, pairs: pa.Table) -> pa.Table:
     schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("w4", pa.int64()), ("n", pa.int64())])
     if not index.num_rows or not pairs.num_rows:
         return schema.empty_table()
-    counts = index["counts"][0].values.to_numpy()
+    counts = _unpacked(index["sizes"][0].as_py())
     fm = Index(counts, _unpacked(index["forward"][0].as_py()), _unpacked(index["backward"][0].as_py()))
     known = np.sort(pairs["pair"].to_numpy())
     number = np.empty(len(counts), np.int64)
@@ -209,18 +213,21 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> Counts:
         "shard", (F.col("local") + 1).cast("long").alias("local"), F.col("entry.langs").alias("lang"),
         F.col("entry.words").alias("text"), F.col("entry.counts").alias("n"))
     own = F.shiftleft("shard", _WORD_BITS).bitwiseOR(F.col("local"))
-    everywhere = Window.partitionBy("lang", "text")
-    here = stored(_frequent(words.withColumn("word", F.min(own).over(everywhere)), least, "lang", "text"), "words")
+    here = _frequent(words.withColumn("word", F.min(own).over(_everywhere("lang", "text"))), least, "lang", "text")
+    known = F.col("word") == own
+    here = stored(here.select("shard", "local", "word", *[F.when(known, F.col(c)).alias(c) for c in ("lang", "text", "total")]), "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
 
     pairs = (
-        index.select("shard", "counts", "forward").groupBy("shard")
+        index.select("shard", "sizes", "forward").groupBy("shard")
         .cogroup(here.select("shard", "local", "word").groupBy("shard"))
         .applyInArrow(_pairs_of_shard, "w1 long, w2 long, shard long, pair long, n long")
     )
-    pairs = stored(_frequent(pairs, least, "w1", "w2"), "pairs")
+    # Dealt by the last word, rows that follow one another share most of their bytes. A very common word is split.
+    pairs = pairs.withColumn("part", F.col("w1") % _PARTS).repartition("w2", "part")
+    pairs = stored(_frequent(pairs, least, "w2", "part", "w1").select("w1", "w2", "shard", "pair", "total"), "pairs")
     longer = (
-        index.select("shard", "counts", "forward", "backward").groupBy("shard")
+        index.select("shard", "sizes", "forward", "backward").groupBy("shard")
         .cogroup(pairs.select("shard", "pair", "w1", "w2").groupBy("shard"))
         .applyInArrow(_longer_of_shard, "w1 long, w2 long, w3 long, w4 long, n long")
         .groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
@@ -228,7 +235,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> Counts:
     two = pairs.groupBy("w1", "w2").agg(F.first("total").alias("f")).select(F.array("w1", "w2").alias("phrase"), "f")
     more = longer.select(F.array_compact(F.array("w1", "w2", "w3", "w4")).alias("phrase"), "f")
     return Counts(
-        here.where(F.col("word") == own).select("word", "lang", "text", F.col("total").alias("f")),
+        here.where("text IS NOT NULL").select("word", "lang", "text", F.col("total").alias("f")),
         stored(two.unionByName(more), "phrases"), sizes)
 
 
