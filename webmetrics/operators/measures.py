@@ -52,24 +52,34 @@ def with_moving_average(df: DataFrame, rows: int, order: str, value: str, name:
     return df.withColumn(name, F.avg(value).over(window))
 
 
+def stage_mask(stages: Sequence[str]) -> Column:
+    """The bit of an event's stage, 0 for other events."""
+    bit = F.lit(0)
+    for i, stage in enumerate(stages):
+        bit = F.when(F.col("event_name") == stage, 1 << i).otherwise(bit)
+    return bit
+
+
+def completed(people: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """How many people's masks (``done``) have stage 1, stages 1-2, ...: one row, a column per stage."""
+    prefix = [(2 << i) - 1 for i in range(len(stages))]
+    return people.agg(*[
+        F.count_if(F.col("done").bitwiseAND(mask) == mask).alias(stage)
+        for stage, mask in zip(stages, prefix)
+    ])
+
+
 def stage_counts(events: DataFrame, stages: Sequence[str]) -> DataFrame:
     """People who did stage 1, stages 1-2, ... at any time: one row, a column per stage.
 
     Only stage events are read. Each person's stages are or-ed into one bit mask, map-side
     first, so a person costs one row per map task however many events there are.
     """
-    bit = F.lit(0)
-    for i, stage in enumerate(stages):
-        bit = F.when(F.col("event_name") == stage, 1 << i).otherwise(bit)
     people = (
         events.where(F.col("event_name").isin(*stages))
-        .groupBy("user_pseudo_id").agg(F.bit_or(bit).alias("done"))
+        .groupBy("user_pseudo_id").agg(F.bit_or(stage_mask(stages)).alias("done"))
     )
-    prefix = [(2 << i) - 1 for i in range(len(stages))]
-    return people.agg(*[
-        F.count_if(F.col("done").bitwiseAND(mask) == mask).alias(stage)
-        for stage, mask in zip(stages, prefix)
-    ])
+    return completed(people, stages)
 
 
 def stage_flags(events: DataFrame, stages: Sequence[str]) -> DataFrame:

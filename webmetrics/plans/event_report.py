@@ -65,12 +65,22 @@ def kpi_compare(events: DataFrame, spec: FilterSpec) -> DataFrame:
     previous value is 0 or missing. Status: ``has_previous``, ``out_of_range`` (no events in
     the previous period) or ``no_dates``.
     """
+    whole, is_current = both_periods(spec)
+    per_period = filtered(events, whole).groupBy(is_current).agg(*_kpi_columns())
+    return compared(per_period, spec)
+
+
+def both_periods(spec: FilterSpec) -> tuple[FilterSpec, Column]:
+    """A filter for the period and the one before it, and which of them a row is in."""
     before = spec.previous()
     whole = spec if before is None else spec.between(before.start, spec.end)
     is_current = F.lit(True) if before is None else F.col("event_date") >= F.lit(spec.start)
-    per_period = (
-        filtered(events, whole).groupBy(is_current.alias("is_current")).agg(*_kpi_columns())
-    )
+    return whole, is_current.alias("is_current")
+
+
+def compared(per_period: DataFrame, spec: FilterSpec) -> DataFrame:
+    """The comparison, from the KPIs of both periods (a row each, if it has events)."""
+    before = spec.previous()
     both = per_period.agg(*[
         F.max(F.when(F.col("is_current") == current, F.col(name).cast("double")))
         .alias(f"{name}_{side}")
