@@ -69,6 +69,7 @@ def prose(seed, texts, words):
 def test_against_plain_counts(spark, monkeypatch, shard):
     monkeypatch.setattr(collocations, "SHARD_WORDS", shard)
     monkeypatch.setattr(collocations, "SLICE_BYTES", 300)
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 10 * shard)
     langs = ["en", "de", None, "und", "en"]
     rows = [(langs[k % 5], text) for k, text in enumerate(prose(1, 300, 12))]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(7)

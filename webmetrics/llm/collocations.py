@@ -36,8 +36,8 @@ SLICE_BYTES = 1 << 22
 # A word's number: 20 bits of the task, 14 of its shards, 29 of the shard's words.
 _TASK_BITS, _WORD_BITS = 14, 29
 
-#: Phrases that end in the same word are dealt to so many parts by the word before it.
-_PARTS = 16
+#: Pairs of about so many words of text are summed by one task.
+BUCKET_WORDS = 1 << 21
 
 _SHARDS = "shard long, langs array<string>, words array<string>, counts array<long>, sizes binary, forward binary, backward binary"
 
@@ -133,63 +133,123 @@ def shards(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(build, _SHARDS), "shards")
 
 
-def _everywhere(*key: str) -> Window:
-    """All rows of a key; it has one row a shard at most. Rows are sorted by a hash first, which is quick."""
-    return Window.partitionBy(F.xxhash64(*key), *key)
+def _block(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, each as planes of bytes: the high ones are mostly zero, or alike."""
+    planes = [np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    data = b"".join(planes)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _columns(block: bytes, count: int) -> list[np.ndarray]:
+    data = np.frombuffer(pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(c.reshape(8, -1).T).view(np.int64).ravel() for c in np.split(data, count)]
+
 
+_BLOCK = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("block", pa.binary())])
+_SUMMED = pa.schema([*_BLOCK, ("w1", pa.int64()), ("w2", pa.int64()), ("f", pa.int64())])
+_LONGER = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("w4", pa.int64()), ("n", pa.int64())])
 
-def _frequent(rows: DataFrame, least: int, *key: str) -> DataFrame:
-    """Rows of keys that have `least` occurrences in all shards together, with the `total`."""
-    return rows.withColumn("total", F.sum("n").over(_everywhere(*key))).where(F.col("total") >= least)
 
+class _Pairs:
+    """Pairs of frequent words of a shard, by bucket; made anew they have the same order."""
 
-def _pairs_of_shard(index: pa.Table, words: pa.Table) -> pa.Table:
-    """Pairs of frequent words: their numbers over all shards, the pair in numbers of the shard, and its count."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("shard", pa.int64()), ("pair", pa.int64()), ("n", pa.int64())])
-    if not index.num_rows or not words.num_rows:
-        return schema.empty_table()
-    counts = _unpacked(index["sizes"][0].as_py())
-    fm = Index(counts, _unpacked(index["forward"][0].as_py()))
-    number = np.full(len(counts), -1, np.int64)
-    number[words["local"].to_numpy()] = words["word"].to_numpy()
-    last = np.flatnonzero(number >= 0)
-    found = fm.left(fm.words(last))
-    found = found[number[found.word] >= 0]
-    last = last[found.of]
-    shard = np.full(len(last), index["shard"][0].as_py(), np.int64)
-    return pa.table([number[found.word], number[last], shard, found.word << 32 | last, found.phrases.count], schema=schema)
+    def __init__(self, fm: Index, number: np.ndarray, buckets: int):
+        last = np.flatnonzero(number >= 0)
+        found = fm.left(fm.words(last))
+        found = found[number[found.word] >= 0]
+        first, last = found.word, last[found.of]
+        numbers = number.astype(np.uint64)
+        mixed = (numbers[first] * np.uint64(0x9E3779B97F4A7C15) + numbers[last]) * np.uint64(0xD6E8FEB86659FD93)
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.first, self.last, self.phrases = first[order], last[order], found.phrases[order]
+        self.begins = np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _longer_of_shard(index: pa.Table, pairs: pa.Table) -> pa.Table:
+def _blocks_of_shard(buckets: int):
+    """A block (numbers over all shards, and count) of the pairs of each bucket, and one of the words' numbers.
+
+    The latter comes in a bucket of its own, below zero.
+    """
+    def blocks(index: pa.Table, words: pa.Table) -> pa.Table:
+        if not index.num_rows or not words.num_rows:
+            return _BLOCK.empty_table()
+        shard, counts = index["shard"][0].as_py(), _unpacked(index["sizes"][0].as_py())
+        number = np.full(len(counts), -1, np.int64)
+        number[words["local"].to_numpy()] = words["word"].to_numpy()
+        pairs = _Pairs(Index(counts, _unpacked(index["forward"][0].as_py())), number, buckets)
+        rows = [(-1 - shard, shard, _block(number))]
+        for bucket in range(buckets):
+            at = slice(pairs.begins[bucket], pairs.begins[bucket + 1])
+            if at.start < at.stop:
+                rows.append((bucket, shard, _block(number[pairs.first[at]], number[pairs.last[at]], pairs.phrases.count[at])))
+        return pa.table(list(zip(*rows)), schema=_BLOCK) if rows else _BLOCK.empty_table()
+
+    return blocks
+
+
+def _summed_bucket(least: int):
+    """Sums of a bucket's pairs over all shards: those with `least`, and for each shard which of its pairs these are."""
+    def summed(blocks: pa.Table) -> pa.Table:
+        nothing = [pa.nulls(blocks.num_rows, pa.int64())] * 3
+        if blocks["bucket"][0].as_py() < 0:
+            return pa.table([*blocks.columns, *nothing], schema=_SUMMED)
+        parts = [_columns(b.as_py(), 3) for b in blocks["block"]]
+        w1, w2, n = (np.concatenate(c) for c in zip(*parts))
+        firsts, first = np.unique(w1, return_inverse=True)
+        seconds, second = np.unique(w2, return_inverse=True)
+        key = first * len(seconds) + second
+        order = np.argsort(key)
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        total = np.add.reduceat(n[order], begins)
+        often = total >= least
+        chosen = np.empty(len(key), bool)
+        chosen[order] = np.repeat(often, np.diff(np.append(begins, len(key))))
+        ends = np.cumsum([len(p[0]) for p in parts])
+        masks = [np.packbits(c).tobytes() for c in np.split(chosen, ends[:-1])]
+        found = order[begins[often]]
+        none = len(found)
+        return pa.concat_tables([
+            pa.table([blocks["bucket"], blocks["shard"], pa.chunked_array([pa.array(masks, pa.binary())]), *nothing], schema=_SUMMED),
+            pa.table([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), w1[found], w2[found], total[often]], schema=_SUMMED)])
+
+    return summed
+
+
+def _longer_of_shard(buckets: int):
     """Phrases of three and four words all of whose pairs are frequent (w4 null in those of three)."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("w4", pa.int64()), ("n", pa.int64())])
-    if not index.num_rows or not pairs.num_rows:
-        return schema.empty_table()
-    counts = _unpacked(index["sizes"][0].as_py())
-    fm = Index(counts, _unpacked(index["forward"][0].as_py()), _unpacked(index["backward"][0].as_py()))
-    known = np.sort(pairs["pair"].to_numpy())
-    number = np.empty(len(counts), np.int64)
-    for local, word in ((pairs["pair"].to_numpy() >> 32, "w1"), (pairs["pair"].to_numpy() & 0xFFFFFFFF, "w2")):
-        number[local] = pairs[word].to_numpy()
-
-    def frequent(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        pair = first.astype(np.int64) << 32 | second
-        return known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
-
-    ends = np.unique(known & 0xFFFFFFFF)
-    two = fm.left(fm.words(ends))
-    two = two[frequent(two.word, ends[two.of])]
-    b, c = two.word, ends[two.of]
-    three = fm.left(two.phrases)
-    three = three[frequent(three.word, b[three.of])]
-    a, b, c = three.word, b[three.of], c[three.of]
-    four = fm.right(three.phrases)
-    four = four[frequent(c[four.of], four.word)]
-    of = four.of
-    nothing = pa.nulls(len(a), pa.int64())
-    return pa.concat_tables([
-        pa.table([number[a], number[b], number[c], nothing, three.phrases.count], schema=schema),
-        pa.table([number[a[of]], number[b[of]], number[c[of]], number[four.word], four.phrases.count], schema=schema)])
+    def longer(index: pa.Table, chosen: pa.Table) -> pa.Table:
+        if not index.num_rows or not chosen.num_rows:
+            return _LONGER.empty_table()
+        fm = Index(_unpacked(index["sizes"][0].as_py()), _unpacked(index["forward"][0].as_py()), _unpacked(index["backward"][0].as_py()))
+        blocks = dict(zip(chosen["bucket"].to_pylist(), chosen["block"].to_pylist()))
+        (number,) = _columns(next(b for k, b in blocks.items() if k < 0), 1)
+        pairs = _Pairs(fm, number, buckets)
+        kept = np.zeros(len(pairs.first), bool)
+        for bucket, mask in blocks.items():
+            if bucket >= 0:
+                begin, end = pairs.begins[bucket], pairs.begins[bucket + 1]
+                kept[begin:end] = np.unpackbits(np.frombuffer(mask, np.uint8), count=end - begin)
+        b, c, two = pairs.first[kept], pairs.last[kept], pairs.phrases[kept]
+        if not len(b):
+            return _LONGER.empty_table()
+        known = np.sort(b << 32 | c)
+
+        def frequent(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+            pair = first << 32 | second
+            return known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
+
+        three = fm.left(two)
+        three = three[frequent(three.word, b[three.of])]
+        a, b, c = three.word, b[three.of], c[three.of]
+        four = fm.right(three.phrases)
+        four = four[frequent(c[four.of], four.word)]
+        of = four.of
+        return pa.concat_tables([
+            pa.table([number[a], number[b], number[c], pa.nulls(len(a), pa.int64()), three.phrases.count], schema=_LONGER),
+            pa.table([number[a[of]], number[b[of]], number[c[of]], number[four.word], four.phrases.count], schema=_LONGER)])
+
+    return longer
 
 
 @dataclass(frozen=True)
@@ -213,26 +273,26 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> Counts:
         "shard", (F.col("local") + 1).cast("long").alias("local"), F.col("entry.langs").alias("lang"),
         F.col("entry.words").alias("text"), F.col("entry.counts").alias("n"))
     own = F.shiftleft("shard", _WORD_BITS).bitwiseOR(F.col("local"))
-    here = _frequent(words.withColumn("word", F.min(own).over(_everywhere("lang", "text"))), least, "lang", "text")
+    everywhere = Window.partitionBy("text", "lang")  # one row a shard at most
+    here = words.withColumn("word", F.min(own).over(everywhere)).withColumn("total", F.sum("n").over(everywhere)).where(F.col("total") >= least)
     known = F.col("word") == own
     here = stored(here.select("shard", "local", "word", *[F.when(known, F.col(c)).alias(c) for c in ("lang", "text", "total")]), "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
 
-    pairs = (
+    size = here.agg(F.sum("total")).first()[0] or 0  # all that buckets have to hold
+    buckets = max(1, -(-size // BUCKET_WORDS))
+    pairs = stored(
         index.select("shard", "sizes", "forward").groupBy("shard")
         .cogroup(here.select("shard", "local", "word").groupBy("shard"))
-        .applyInArrow(_pairs_of_shard, "w1 long, w2 long, shard long, pair long, n long")
-    )
-    # Dealt by the last word, rows that follow one another share most of their bytes. A very common word is split.
-    pairs = pairs.withColumn("part", F.col("w1") % _PARTS).repartition("w2", "part")
-    pairs = stored(_frequent(pairs, least, "w2", "part", "w1").select("w1", "w2", "shard", "pair", "total"), "pairs")
+        .applyInArrow(_blocks_of_shard(buckets), "bucket long, shard long, block binary")
+        .groupBy("bucket").applyInArrow(_summed_bucket(least), "bucket long, shard long, block binary, w1 long, w2 long, f long"), "pairs")
     longer = (
         index.select("shard", "sizes", "forward", "backward").groupBy("shard")
-        .cogroup(pairs.select("shard", "pair", "w1", "w2").groupBy("shard"))
-        .applyInArrow(_longer_of_shard, "w1 long, w2 long, w3 long, w4 long, n long")
+        .cogroup(pairs.where("block IS NOT NULL").select("shard", "bucket", "block").groupBy("shard"))
+        .applyInArrow(_longer_of_shard(buckets), "w1 long, w2 long, w3 long, w4 long, n long")
         .groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     )
-    two = pairs.groupBy("w1", "w2").agg(F.first("total").alias("f")).select(F.array("w1", "w2").alias("phrase"), "f")
+    two = pairs.where("block IS NULL").select(F.array("w1", "w2").alias("phrase"), "f")
     more = longer.select(F.array_compact(F.array("w1", "w2", "w3", "w4")).alias("phrase"), "f")
     return Counts(
         here.where("text IS NOT NULL").select("word", "lang", "text", F.col("total").alias("f")),
