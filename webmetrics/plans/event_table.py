@@ -74,9 +74,16 @@ def events_page(events: DataFrame, spec: FilterSpec,
     """
     rows = events.where(event_filter(spec))
     pages = page_count(count_rows(rows, "total").scalar(), size)
+    return events_page_rows(events, spec, sort, number, size).withColumn("page_count", pages)
+
+
+def events_page_rows(events: DataFrame, spec: FilterSpec,
+                     sort: Iterable[Mapping[str, str]] | None = None, number: int | None = 0,
+                     size: int = PAGE_SIZE) -> DataFrame:
+    """The page alone, without counting all pages."""
     order = [directed(c, ascending) for c, ascending in event_keys(sort)]
-    near = _candidates(rows, sort, ((number or 0) + 1) * size)
-    return display_events(page(near, order, number, size)).withColumn("page_count", pages)
+    near = _candidates(events.where(event_filter(spec)), sort, ((number or 0) + 1) * size)
+    return display_events(page(near, order, number, size))
 
 
 def events_page_after(events: DataFrame, spec: FilterSpec, cursor: Cursor | None = None,

@@ -74,11 +74,23 @@ def products_page(products: DataFrame, events: DataFrame | None, spec: FilterSpe
 
     Rows with the same time follow the order of the table's columns.
     """
+    pages = page_count(product_total(products, events, spec).scalar(), size)
+    return products_page_rows(products, events, spec, number, size, uncategorised).withColumn("page_count", pages)
+
+
+def products_page_rows(products: DataFrame, events: DataFrame | None, spec: FilterSpec,
+                       number: int | None = 0, size: int = PAGE_SIZE,
+                       uncategorised: str = UNCATEGORISED) -> DataFrame:
+    """The page alone, without counting all pages."""
     same_time = [F.asc_nulls_last(c) for c in PRODUCT_TABLE_COLUMNS]
     rows = leading_by_events(products, events, spec, same_time, ((number or 0) + 1) * size)
     wanted = page(rows, [F.desc_nulls_last("event_datetime"), *same_time], number, size)
-    pages = page_count(product_total(products, events, spec).scalar(), size)
-    return display_products(wanted, uncategorised).withColumn("page_count", pages)
+    return display_products(wanted, uncategorised)
+
+
+def product_keys() -> list[tuple[Column, bool]]:
+    """(column, ascending) keys that put products in a definite order, latest first."""
+    return [(F.col("event_datetime"), False), *[(F.col(c), True) for c in PRODUCT_TABLE_COLUMNS]]
 
 
 def products_page_after(products: DataFrame, events: DataFrame | None, spec: FilterSpec,
@@ -90,7 +102,7 @@ def products_page_after(products: DataFrame, events: DataFrame | None, spec: Fil
     costs the same at any depth. ``Cursor.after([r.sort_values for r in rows], cursor)`` leads
     to the following page.
     """
-    keys = [(F.col("event_datetime"), False), *[(F.col(c), True) for c in PRODUCT_TABLE_COLUMNS]]
+    keys = product_keys()
     values, cursor = portable_keys(products, keys, cursor)
     same_time = [directed(c, ascending) for c, ascending in keys[1:]]
     reach = size + (cursor.shown if cursor else 0)

@@ -102,12 +102,14 @@ def partition_folders(spark: SparkSession, name: str) -> dict[str, str]:
 def write_version(df: DataFrame, name: str, folder: str, partition_by: Sequence[str] = (),
                   columns: Iterable[str] | None = None,
                   keep: Callable[[Spec], bool] | None = None,
-                  write: Callable[[DataFrame, str], None] | None = None) -> Version:
+                  write: Callable[[DataFrame, str], None] | None = None,
+                  buckets: tuple[int, Sequence[str]] | None = None) -> Version:
     """Write ``df`` as the next version of table ``name`` below ``folder``.
 
     ``keep`` tells which partitions of the current version stay; without it none does. ``columns``
     are those the view shows (all by default). ``write`` writes a frame to a path, split by
-    ``partition_by``; the files' format is Parquet.
+    ``partition_by``; the files' format is Parquet. ``buckets`` (number, columns) splits an
+    unpartitioned table further, each bucket sorted.
     """
     spark = df.sparkSession
     short = name.split(".")[-1]
@@ -115,11 +117,15 @@ def write_version(df: DataFrame, name: str, folder: str, partition_by: Sequence[
     table = ".".join([*name.split(".")[:-1], version])
     place = f"{folder}/{short}.versions/{version}"
     path, manifest = f"{place}/rows", f"{place}/partitions"
+    shown = tuple(columns) if columns is not None else tuple(df.columns)
+    if buckets is not None:
+        number, by = buckets
+        df.write.format("parquet").option("path", path).bucketBy(number, *by).sortBy(*by).saveAsTable(table)
+        return Version(spark, name, table, shown, "")
     if write is not None:
         write(df, path)
     else:
         df.write.partitionBy(*partition_by).parquet(path)
-    shown = tuple(columns) if columns is not None else tuple(df.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     split = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
     spark.sql(f"CREATE TABLE {quoted(table)} ({fields}) USING parquet {split} LOCATION {_text(path)}")
