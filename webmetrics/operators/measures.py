@@ -17,6 +17,9 @@ from webmetrics.functions.scalar import (
 )
 from webmetrics.schema import DIRECT
 
+#: Days of the range that is offered first.
+DEFAULT_DAYS = 30
+
 
 def count_rows(df: DataFrame, name: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -105,7 +108,7 @@ def medium_options(events: DataFrame, direct: str = DIRECT, ordered: bool = True
                           medium_label("traffic_medium", direct).alias("label"))
 
 
-def date_bounds(events: DataFrame, default_days: int = 30) -> DataFrame:
+def date_bounds(events: DataFrame, default_days: int = DEFAULT_DAYS) -> DataFrame:
     """First and last day, and the default range: the last days, not before the first."""
     bounds = events.agg(F.min("event_date").alias("min_date"),
                         F.max("event_date").alias("max_date"))
