@@ -44,7 +44,8 @@ class _Ids(dict):
     """Ids of a run of characters without blanks, as bytes; learnt on first use.
 
     The tokenizer splits at white space before all else and joins nothing across it, so a text's ids are
-    those of its runs one after the other. Within a run, a final full stop or comma after a letter stands alone.
+    those of its runs one after the other. Within a run, a final full stop or comma after a letter stands alone,
+    if what is left is a letter still when the tokenizer has normalised it (some letters end in a mark then).
     """
 
     def __init__(self, path: str) -> None:
@@ -58,7 +59,7 @@ class _Ids(dict):
         self.signs = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
     def __missing__(self, run: str) -> bytes:
-        if run[-1:] in (".", ",") and run[-2:-1].isalpha():
+        if run[-1:] in (".", ",") and run[-2:-1].isalpha() and (run.isascii() or self._ends_in_letter(run[:-1])):
             return self[run[:-1]] + self[run[-1]]
         ids = None
         if run.isalpha() and max(run) < "ɐ":  # Latin letters, whose lower case is a letter again
@@ -72,6 +73,10 @@ class _Ids(dict):
         self[run] = found
         return found
 
+    @staticmethod
+    def _ends_in_letter(run: str) -> bool:
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFC", run).lower())[-1:].isalpha()
+
     def _asked(self, run: str) -> bytes:
         return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
