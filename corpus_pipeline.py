@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webmetrics.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from webmetrics.llm.common import cut, free_name
+from webmetrics.llm.common import cut, free_name, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,11 +37,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near copies the one with the smallest id stays."""
+    """Of documents linked by near copies the one with the smallest id stays, and of rows that repeat an id the first
+    in the order of their columns. Rows without an id stay."""
     groups = ngram_join.ngram_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     key = free_name(docs, "_gone")
     gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(cut(gone), F.col("doc_id") == F.col(key), "left_anti")
+    rest = docs.join(cut(gone), F.col("doc_id") == F.col(key), "left_anti")
+    again = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias(key))
+    again, same = cut(again), F.col("doc_id") == F.col(key)
+    one = rest.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias(key))
+    return rest.join(again, same, "left_anti").unionByName(one.select(f"{key}.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +72,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; what a stage returns is kept in the checkpoint folder for the next."""
+    """All stages on `documents`; what a stage returns is written as Parquet in the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
