@@ -22,10 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     context._jvm.System.gc()
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))  # local sessions only, such as tests
+        context.setCheckpointDir(_own_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, for local sessions such as tests; on a cluster the setting is needed."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
@@ -68,11 +75,7 @@ def member_bits(keys: DataFrame, key: Column) -> bytes:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, which every machine of the cluster sees."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="checkpoints-")  # local sessions only, such as tests
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
