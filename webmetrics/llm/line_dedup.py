@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, stored
+from .common import cut, free_name
 
 PERCENT = 80
 #: Lines with fewer different words are left alone, exact copies too, as the query's SQL has it.
@@ -19,11 +19,13 @@ LEAST_WORDS = 5
 COUNTERS = 1 << 19
 #: Longs of a membership filter that thins rows before a join.
 FILTER_LONGS = 1 << 16
-#: Levels of rarity to a doubling of the frequency, and the level of the mean.
-STEPS, MEAN_LEVEL = 4, 64
+
+#: Of a set's rarest words so many, and frequent from so many doublings on, look for large groups of near copies.
+LEADING, FREQUENT = 6, 6
+#: Lines of such a group that the others are compared with in turn, before all pairs of what is left.
+TURNS = 3
 
 _BLANKS = "\t\x0b\f\r"  # white space within a line, besides the space
-_ANY_BLANK = r"[^\x20\x09\x0B-\x0D]"
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -66,16 +68,11 @@ def _words(body: Column) -> Column:
 
 
 def _levels(texts: DataFrame) -> DataFrame:
-    """How common words are, for each counter, counted over all texts: one row (levels: `COUNTERS` small numbers).
-
-    Levels are relative to the mean of the counters, so they tell rare from common in a corpus of any size.
-    """
+    """Frequency of words in doublings, for each counter, counted over all texts: one row (levels: `COUNTERS` small numbers)."""
     words = texts.select(F.explode(_split(F.col("text"), _BLANKS + "\n")).alias("word")).where("word != ''")
-    counts = cut(words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("id")).count())
-    mean = counts.agg(F.avg("count")).scalar()
-    level = F.floor(F.log2(F.col("count") / mean) * STEPS) + MEAN_LEVEL
-    values = counts.select("id", F.greatest(F.lit(0), F.least(level, F.lit(127))).cast("tinyint").alias("v"))
-    return _row_of(values, COUNTERS, F.lit(0).cast("tinyint"), "levels")
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("id")).count()
+    level = F.least(F.floor(F.log2("count")), F.lit(15))
+    return _row_of(counts.select("id", level.cast("tinyint").alias("v")), COUNTERS, F.lit(0).cast("tinyint"), "levels")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -105,7 +102,8 @@ def _common(n: Column) -> Column:
 
 def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """(doc_id, line, n, k1, k2, sketch, start): each line's set by a 128-bit key, and its first words."""
-    lines = _lines(docs).where(F.col("body").rlike(_ANY_BLANK)).withColumn("levels", _levels(docs).scalar())
+    # A subquery that is read once: the table is no part of the plan's text, and Spark puts it where it is used.
+    lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]")).withColumn("levels", _levels(docs).scalar())
     rows = lines.select("doc_id", "line", _keys(_words(F.col("body")), F.col("levels")).alias("keys"))
     rows = rows.withColumn("n", F.size("keys")).where(F.col("n") >= least)
     flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long"))))
@@ -117,67 +115,57 @@ def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
         F.xxhash64("keys").alias("k1"),
         F.xxhash64(F.lit(1), "keys").alias("k2"),
         F.aggregate("keys", F.lit(0).cast("long"), flip).alias("sketch"),
-        # 32 bits of the hash: words that fall together only give pairs that the words themselves refute.
-        F.transform(start, lambda key: F.shiftright(_left(key, F.lit(32)), 32).cast("int")).alias("start"),
+        # Level and 28 bits of the hash: words that fall together only give pairs that the words themselves refute.
+        F.transform(start, lambda key: (F.shiftright(key, 56) * (1 << 28) + key % (1 << 28) - (1 << 31)).cast("int")).alias("start"),
     )
 
 
+def _pair(left: Column, right: Column) -> list[Column]:
+    return [left["doc"].alias("a_doc"), left["line"].alias("a_line"), right["doc"].alias("b_doc"), right["line"].alias("b_line")]
+
+
 def _close(n: Column, m: Column, sketch: Column, other: Column, percent: int) -> Column:
     """Whether sizes and sketches allow two sets to be alike enough."""
     apart = F.bit_count(sketch.bitwiseXOR(other)) * (100 + percent) <= (n + m) * (100 - percent)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & apart
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Length, position and sketch filters on entries `a` and `b` (prefixes of column names) that share a word."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    before = F.least(f"{a}at", f"{b}at")
-    after = F.least(n - F.col(f"{a}at"), m - F.col(f"{b}at"))
-    return _close(n, m, F.col(f"{a}sketch"), F.col(f"{b}sketch"), percent) & ((before + after) * (100 + percent) >= (n + m) * percent)
-
-
-def _shared(first: DataFrame) -> DataFrame:
-    """Entries of words that several sets begin with, and the word's leader, its first line: one shuffle by word."""
-    own = F.struct("doc", "line", "n", "at", "sketch")
-    entries = first.select(F.posexplode("start").alias("at", "token"), "doc", "line", "n", "sketch")
-    alike = Window.partitionBy("token")
-    found = entries.withColumn("sets", F.count(F.lit(1)).over(alike)).withColumn("leader", F.min(own).over(alike))
-    return stored(found.where("sets > 1"), "entries")
-
-
-_PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
+def _starred(first: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of the open line of rank `turn` and all later open lines that share a frequent word with it.
 
-
-def _often(pairs: DataFrame) -> DataFrame:
-    """Pairs that share as many of their first words as their size asks for."""
-    return pairs.groupBy(*_PAIR, "common").count().where("count >= common").select(*_PAIR)
-
-
-def _pairs_with_leaders(entries: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of a line and the leader of some of its first words."""
-    named = entries.select(
-        "doc", "line", "n", "at", "sketch", *[F.col(f"leader.{c}").alias(f"leader_{c}") for c in ("doc", "line", "n", "at", "sketch")])
-    others = named.where((F.col("doc") != F.col("leader_doc")) | (F.col("line") != F.col("leader_line")))
-    return _often(others.where(_fits("leader_", "", percent)).select(
-        F.col("leader_doc").alias("a_doc"), F.col("leader_line").alias("a_line"), F.col("doc").alias("b_doc"), F.col("line").alias("b_line"),
-        _common(F.least("n", "leader_n")).alias("common")))
-
-
-def _other_pairs(entries: DataFrame, tested: DataFrame, closed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b), a before b, of which b is not known to go, but for those tested already."""
-    gone = closed.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"), F.lit(False).alias("known"))
-    rest = entries.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left")
-    rest = rest.select("token", "doc", "line", "n", "at", "sketch", F.col("known").isNull().alias("open"))
-    # A word needs a line that is open and one before it.
-    place = F.struct("doc", "line")
-    asked = rest.groupBy("token").agg(F.min(place).alias("low"), F.max(F.when(F.col("open"), place)).alias("high"))
-    rest = cut(rest.join(asked.where("low < high").select("token"), "token", "left_semi"))
-    x = rest.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc", "line", "n", "at", "sketch")])
-    y = rest.where("open").select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "line", "n", "at", "sketch")])
-    before = (F.col("x_doc") < F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line")))
-    names = [F.col(f"x_{c}").alias(f"a_{c}") for c in ("doc", "line")] + [F.col(f"y_{c}").alias(f"b_{c}") for c in ("doc", "line")]
-    joined = x.join(y, "token").where(before & _fits("x_", "y_", percent))
-    return _often(joined.select(*names, _common(F.least("x_n", "y_n")).alias("common"))).join(tested, _PAIR, "left_anti")
+    Only words that are among a set's rarest and frequent all the same count: lines of large groups of near copies
+    have such. Most of these go by a comparison with one or two lines each.
+    """
+    entries = first.select(F.posexplode(F.slice("start", 1, LEADING)).alias("at", "token"), "doc", "line", "n", "sketch")
+    entries = entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= FREQUENT)
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
+    leaders = entries.withColumn("rank", rank).where(F.col("rank") <= turn).where(F.col("rank") == turn)
+    leaders = leaders.select("token", F.struct("doc", "line", "n", "sketch").alias("a"))
+    joined = entries.join(leaders, "token").where(_close(F.col("a.n"), F.col("n"), F.col("a.sketch"), F.col("sketch"), percent))
+    own, leader = F.struct("doc", "line"), F.struct("a.doc", "a.line")
+    return joined.where(leader < own).select(*_pair(leader, own)).distinct()
+
+
+def _alike(first: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b), a before b and b open still, of the first lines of all sets."""
+    entries = first.select(F.posexplode("start").alias("at", "token"), "doc", "line", "n", "sketch", "open")
+    x, y = entries.alias("x"), entries.alias("y")
+    n = F.col("x.n") + F.col("y.n")
+    indexed = F.col("x.n") - _at_least(2 * percent, 100 + percent, F.col("x.n")) + _common(F.col("x.n")) - F.col("x.at")
+    left, right = F.struct("x.doc", "x.line"), F.struct("y.doc", "y.line")
+    before, after = F.least("x.at", "y.at"), F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    joined = x.join(
+        y,
+        (F.col("x.token") == F.col("y.token"))
+        & (F.least(indexed, F.col("y.n")) > 0)  # names both sides, so that they stay one shuffle
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (left < right)))
+        & _close(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
+        & F.when(left < right, F.col("y.open")).otherwise(F.col("x.open"))
+        & ((before + after) * (100 + percent) >= n * percent),
+    )
+    pair = joined.select(*_pair(F.least(left, right), F.greatest(left, right)), _common(F.col("x.n")).alias("common"))
+    shared = pair.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").count()
+    return shared.where("count >= common").drop("common", "count")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +173,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")), F.struct(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))).alias("e"))
     bits = _filter(ends.select("e.*"), F.xxhash64("doc", "line"))
     lines = _lines(docs).where(_passes(bits, F.xxhash64("doc_id", "line")))
-    lines = lines.select("doc_id", "line", F.array_distinct(_words(F.col("body"))).alias("words")).dropDuplicates(["doc_id", "line"])
+    lines = lines.select("doc_id", "line", F.array_distinct(_words(F.col("body"))).alias("words"))
     a = lines.select(F.col("doc_id").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
     b = lines.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
     both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
@@ -195,21 +183,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one is alike to.
-
-    1. Equal sets are one node, under their first line; its copies go.
-    2. Words that only one set begins with are dropped; each other one pairs its sets with the first of them. That
-       closes most lines of a group of near copies with a comparison each.
-    3. What is open still is joined to all earlier lines that share one of its first words.
-    """
-    sets = stored(_sets(docs, percent, least), "sets")
+    """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one is alike to."""
+    sets = cut(_sets(docs, percent, least))
     place = F.min(F.struct("doc_id", "line")).alias("p")
     first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
-    entries = _shared(first.select(F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start"))
-    tested = cut(_pairs_with_leaders(entries, percent))
-    closed = cut(_verified(docs, tested, percent))
-    later = cut(closed.unionByName(_verified(docs, cut(_other_pairs(entries, tested, closed, percent)), percent)).distinct())
-    lines = sets.select("doc_id", "line", "k1", "k2")
+    first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start"))
+    lines = cut(sets.select("doc_id", "line", "k1", "k2"))
+    del sets  # its beginnings of sets are the largest part of what is kept
+    later = None
+    for turn in range(1, TURNS + 1):
+        still = first if later is None else first.join(later, ["doc", "line"], "left_anti")
+        found = _verified(docs, cut(_starred(still, percent, turn)), percent)
+        later = cut(found if later is None else later.unionByName(found).distinct())
+    closed = later.withColumn("closed", F.lit(True))
+    first = first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull())
+    later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
     places = lines.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
     places = places.join(later.select("doc", F.col("line").alias("first_line"), F.lit(True).alias("gone")), ["doc", "first_line"], "left")
     lines = lines.join(places, ["k1", "k2"])
