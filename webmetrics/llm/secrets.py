@@ -10,7 +10,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,15 +30,18 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(HEX)
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run that goes on over lines which hold nothing else; the last may be short.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,}+)*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++={0,2})(?=[\x20\t]*\r?(?:\n|\Z))")
 _BREAK = re.compile(r"\s+")
 #: Where compressed data may begin behind other bytes.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
-#: Bytes of a decompressed layer that are read at once; layers are cut at line ends only.
+#: Bytes of a decompressed layer that are read at once; layers are cut at line ends.
 _PIECE = 1 << 20
+#: Characters of one line of such a layer that are scanned at once, and how many of them again with the next.
+#: All of the layer's spans are the range of what was compressed, so a secret at a cut shows all the same.
+_LINE, _AGAIN = 1 << 22, 1 << 16
 
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long,layers:string>>"
 
@@ -50,8 +54,8 @@ class _Layer:
     """
 
     text: str
-    low: list[int] | None
-    high: list[int] | None
+    low: Sequence[int] | None
+    high: Sequence[int] | None
     whole: tuple[int, int]
     path: str
 
@@ -99,7 +103,7 @@ def _percent(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
 
 
 def _escape(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
-    code = int(m.group(1) or m.group(2) or m.group(3), 16)
+    code = int(next(filter(None, m.groups())), 16)
     return [(chr(code), 0, len(m.group()))] if code < 0xD800 or 0xDFFF < code < 0x110000 else None
 
 
@@ -160,6 +164,9 @@ def _decompressed(raw: bytes, engine) -> Iterator[str]:
         if (cut := rest.rfind("\n") + 1) and len(rest) >= _PIECE:
             yield rest[:cut]
             rest = rest[cut:]
+        elif len(rest) >= _LINE:
+            yield rest
+            rest = rest[-_AGAIN:]
         if engine.eof:
             data = engine.unused_data.lstrip(b"\0")  # padding
             if engine := _decompressor(data):
@@ -207,18 +214,59 @@ def _clean_from(body: str, at: int, raw: bytes) -> int | None:
     return None
 
 
-def _packed(body: str, path: str, whole) -> Iterator[_Layer]:
-    """Layers of one run of base64; `whole` gives the range of characters of it.
+class _Inside:
+    """Where the characters of a decoded text lie in the run that encodes it: three bytes are four characters.
+
+    `begin` is the run's character at which the bytes begin, `place` gives the range of some of its characters.
+    """
+
+    def __init__(self, raw: bytes, begin: int, place: Callable[[int, int], tuple[int, int]], high: bool):
+        decoded = raw.decode("utf-8", "surrogateescape")
+        self.text = "".join("\ufffd" if "\udc80" <= c <= "\udcff" else c for c in decoded) if not raw.isascii() else decoded
+        self.count, self.begin, self.place, self.high = len(decoded), begin, place, high
+        self.ends = None  # of characters in bytes, unless each is a byte
+        if not raw.isascii():
+            self.ends = array("q")
+            end = 0
+            for c in decoded:
+                end += 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+                self.ends.append(end)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, k: int) -> int:
+        k += self.count if k < 0 else 0
+        if self.high:
+            last = (k + 1 if self.ends is None else self.ends[k]) - 1
+            end = self.begin + last // 3 * 4 + last % 3 + 2
+            return self.place(end - 1, end)[1]
+        first = k if self.ends is None else self.ends[k - 1] if k else 0
+        start = self.begin + first // 3 * 4 + first % 3
+        return self.place(start, start + 1)[0]
+
+
+def _packed(body: str, path: str, place: Callable[[int, int], tuple[int, int]]) -> Iterator[_Layer]:
+    """Layers of one run of base64; `place` gives the range of some characters of it.
+
+    Spans in clean text are the run and the characters of it that encode them, spans in other layers the run alone.
 
     Where a run is no clean text from its first character on, other text may be glued to it: then all four alignments are
     read, as far as they decode, and compressed data is looked for anywhere.
     """
     body = body.replace("-", "+").replace("_", "/")
+
+    def whole(begin: int) -> tuple[int, int]:
+        return place(begin, begin + 1)[0], place(len(body) - 1, len(body))[1]
+
     for at in range(4):
         raw = _aligned(body, at)
         begin = _clean_from(body, at, raw)
         if begin is not None:
-            yield _Layer(raw[(begin - at) // 4 * 3 :].decode("utf-8", "replace"), None, None, whole(begin), f"{path}/base64")
+            clean = raw[(begin - at) // 4 * 3 :]
+            low, high = (_Inside(clean, begin or at, place, end) for end in (False, True))
+            if low.text:
+                yield _Layer(low.text, low, high, whole(begin), f"{path}/base64")
             if begin == 0:
                 return
             raw = raw[: (begin - at) // 4 * 3]
@@ -242,9 +290,14 @@ def _unpacked(layer: _Layer) -> Iterator[_Layer]:
     for pattern in (_WRAPPED, _BASE64):
         for m in pattern.finditer(layer.text):
             body = _BREAK.sub("", m.group()).rstrip("=")
-            # Where white space was taken out, the range begins with the run.
-            one = pattern is _BASE64
-            yield from _packed(body, layer.path, lambda k, m=m, one=one: layer.range(m.start() + (k if one else 0), m.end()))
+            # Characters of the run, line ends taken out, by their places in the layer; padding belongs to the last one.
+            kept = None if len(body) + 2 >= m.end() - m.start() else array("q", (k for k in range(m.start(), m.end()) if not layer.text[k].isspace()))
+
+            def place(a: int, b: int, m=m, kept=kept, size=len(body)) -> tuple[int, int]:
+                end = m.end() if b == size else (m.start() + b if kept is None else kept[b - 1] + 1)
+                return layer.range(m.start() + a if kept is None else kept[a], end)
+
+            yield from _packed(body, layer.path, place)
 
 
 def _below(layer: _Layer) -> Iterator[_Layer]:
@@ -289,6 +342,8 @@ def spans_of(text: str) -> list[tuple[str, int, int, str]]:
             low, high = layer.range(a, b)
             if layer.low is None or high - low != b - a:
                 found.setdefault((kind, low, high), layer.path[1:])
+                if isinstance(layer.low, _Inside):  # the run is no use without it, so it is a span as well
+                    found.setdefault((kind, *layer.whole), layer.path[1:])
         work.append(_below(layer))
     return sorted(((kind, a, b, path) for (kind, a, b), path in found.items()), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
