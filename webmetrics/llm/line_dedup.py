@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, stored
 
 PERCENT = 80
 #: Lines with fewer different words are left alone, exact copies too, as the query's SQL has it.
@@ -130,14 +130,17 @@ def _close(n: Column, m: Column, sketch: Column, other: Column, percent: int) ->
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & apart
 
 
-def _starred(first: DataFrame, percent: int, turn: int) -> DataFrame:
+def _frequent(first: DataFrame) -> DataFrame:
+    """Entries of words that are among a set's rarest and frequent all the same: lines of large groups of near copies have such."""
+    entries = first.select(F.explode(F.slice("start", 1, LEADING)).alias("token"), "doc", "line", "n", "sketch")
+    return entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= FREQUENT)
+
+
+def _starred(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of the open line of rank `turn` and all later open lines that share a frequent word with it.
 
-    Only words that are among a set's rarest and frequent all the same count: lines of large groups of near copies
-    have such. Most of these go by a comparison with one or two lines each.
+    Most lines of large groups go by a comparison with one or two lines each.
     """
-    entries = first.select(F.posexplode(F.slice("start", 1, LEADING)).alias("at", "token"), "doc", "line", "n", "sketch")
-    entries = entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= FREQUENT)
     rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
     leaders = entries.withColumn("rank", rank).where(F.col("rank") <= turn).where(F.col("rank") == turn)
     leaders = leaders.select("token", F.struct("doc", "line", "n", "sketch").alias("a"))
@@ -188,11 +191,11 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
     place = F.min(F.struct("doc_id", "line")).alias("p")
     first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
     first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start"))
-    lines = cut(sets.select("doc_id", "line", "k1", "k2"))
+    lines = stored(sets.select("doc_id", "line", "k1", "k2"), "lines")
     del sets  # its beginnings of sets are the largest part of what is kept
-    later = None
+    later, entries = None, cut(_frequent(first))
     for turn in range(1, TURNS + 1):
-        still = first if later is None else first.join(later, ["doc", "line"], "left_anti")
+        still = entries if later is None else entries.join(later, ["doc", "line"], "left_anti")
         found = _verified(docs, cut(_starred(still, percent, turn)), percent)
         later = cut(found if later is None else later.unionByName(found).distinct())
     closed = later.withColumn("closed", F.lit(True))
