@@ -13,9 +13,11 @@ import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webmetrics.operators.measures import purchase_summary
 from webmetrics.plans import event_report, event_table, newuser_report, options, product_report
+from webmetrics.plans.etl import run_etl
 from webmetrics.schema import STORED_COLUMNS
 from webmetrics.sources import driver_tables as sample
 from webmetrics.sources import scan, sink
@@ -85,9 +87,26 @@ def report_queries(spark: SparkSession) -> dict:
         "newuser_medium": lambda: newuser_report.newuser_medium(people, everyone),
         "newuser_conversion": lambda: newuser_report.newuser_conversion(people, everyone),
         "filter_options": lambda: options.filter_options(events, products),
+        "filter_options_in_one_scan": lambda: options.filter_options_in_one_scan(events, products),
     }
 
 
+def reload_days(spark: SparkSession) -> tuple[float, float]:
+    """Load all shards, then the last five days again, three times: (first load, median reload)."""
+    where = tempfile.mkdtemp(prefix="bench-load-")
+    spark.sql(f"CREATE DATABASE bench_load LOCATION '{where}'")
+    layout = sink.StoreLayout(database="bench_load")
+    raw = f"{where}/raw"
+    sample.raw_events(spark, FOLDER).write.partitionBy("table_suffix").parquet(raw)
+    records = spark.read.parquet(raw).withColumn("table_suffix", F.col("table_suffix").cast("string"))
+
+    def load(start: str, end: str) -> None:
+        run_etl(spark, records, f"{where}/files", start, end, layout, ["event_id"], replace="partitions")
+
+    first = seconds(lambda: load("20240101", "20240131"))
+    return first, statistics.median(seconds(lambda: load("20240126", "20240130")) for _ in range(WARM_RUNS))
+
+
 def main() -> None:
     spark = session()
     warm, cold = {}, {}
@@ -96,6 +115,7 @@ def main() -> None:
     builds = [seconds(lambda: sink.build_warehouse(spark, *frames, layout=layout))
               for _ in range(1 + WARM_RUNS)]
     cold["build_warehouse"], warm["build_warehouse"] = builds[0], statistics.median(builds[1:])
+    cold["reload_days"], warm["reload_days"] = reload_days(spark)
     in_memory = [scan.materialize(spark.table(name)) for name in STORED_COLUMNS]
     rows = {name: df.count() for name, df in zip(STORED_COLUMNS, in_memory)}
     for name, build in report_queries(spark).items():
