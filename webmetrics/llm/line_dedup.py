@@ -20,8 +20,9 @@ COUNTERS = 1 << 19
 #: Longs of a membership filter that thins rows before a join.
 FILTER_LONGS = 1 << 16
 
-#: Of a set's rarest words so many, and frequent from so many doublings on, look for large groups of near copies.
-LEADING, FREQUENT = 6, 6
+#: Of a set's rarest words so many, and frequent from so many doublings on, and so many above the mean of the counters,
+#: look for large groups of near copies.
+LEADING, FREQUENT, ABOVE = 6, 6, 2
 #: Lines of such a group that the others are compared with in turn, before all pairs of what is left.
 TURNS = 3
 
@@ -100,10 +101,16 @@ def _common(n: Column) -> Column:
     return F.shiftright(n, 5) + 1
 
 
-def _sets(docs: DataFrame, percent: int, least: int) -> DataFrame:
+def _usual(levels: DataFrame) -> int:
+    """The level of the mean counter."""
+    sums = F.aggregate("levels", F.lit(0.0), lambda total, level: total + F.pow(F.lit(2.0), level))
+    return int(levels.select(F.floor(F.log2(F.greatest(sums / COUNTERS, F.lit(1.0))))).first()[0])
+
+
+def _sets(docs: DataFrame, levels: DataFrame, percent: int, least: int) -> DataFrame:
     """(doc_id, line, n, k1, k2, sketch, start): each line's set by a 128-bit key, and its first words."""
     # A subquery that is read once: the table is no part of the plan's text, and Spark puts it where it is used.
-    lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]")).withColumn("levels", _levels(docs).scalar())
+    lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]")).withColumn("levels", levels.scalar())
     rows = lines.select("doc_id", "line", _keys(_words(F.col("body")), F.col("levels")).alias("keys"))
     rows = rows.withColumn("n", F.size("keys")).where(F.col("n") >= least)
     flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long"))))
@@ -130,10 +137,10 @@ def _close(n: Column, m: Column, sketch: Column, other: Column, percent: int) ->
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & apart
 
 
-def _frequent(first: DataFrame) -> DataFrame:
+def _frequent(first: DataFrame, least: int) -> DataFrame:
     """Entries of words that are among a set's rarest and frequent all the same: lines of large groups of near copies have such."""
     entries = first.select(F.explode(F.slice("start", 1, LEADING)).alias("token"), "doc", "line", "n", "sketch")
-    return entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= FREQUENT)
+    return entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= least)
 
 
 def _starred(entries: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -187,13 +194,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one is alike to."""
-    sets = cut(_sets(docs, percent, least))
+    levels = _levels(docs)
+    sets = cut(_sets(docs, levels, percent, least))
     place = F.min(F.struct("doc_id", "line")).alias("p")
     first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
     first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start"))
     lines = stored(sets.select("doc_id", "line", "k1", "k2"), "lines")
     del sets  # its beginnings of sets are the largest part of what is kept
-    later, entries = None, cut(_frequent(first))
+    later, entries = None, cut(_frequent(first, min(max(FREQUENT, _usual(levels) + ABOVE), 15)))
     for turn in range(1, TURNS + 1):
         still = entries if later is None else entries.join(later, ["doc", "line"], "left_anti")
         found = _verified(docs, cut(_starred(still, percent, turn)), percent)
