@@ -189,3 +189,12 @@ def test_a_table_from_elsewhere_keeps_its_rows(spark, database, tmp_path):  # no
     assert spark.table(f"{database}.events").count() == 1
     (old,) = [r.tableName for r in spark.sql(f"SHOW TABLES IN {database}").collect() if r.tableName.endswith("_before")]
     assert spark.table(f"{database}.{old}").count() == 3
+
+
+def test_tables_that_are_split_otherwise_are_not_mixed(spark, database, tmp_path):  # noqa: F811
+    layout = sink.StoreLayout(database=database)
+    sink.build_warehouse(spark, frames.events(spark, {}), frames.products(spark, {}), layout=layout)  # by day, not by shard
+    with pytest.raises(ValueError, match="not split by event_date, table_suffix"):
+        run_etl(spark, records(spark, random_records(1, 20)), str(tmp_path / "files"), "20210101", "20210112", layout,
+                ["event_id"], replace="partitions")
+    assert spark.table(f"{database}.events").count() == 1

@@ -134,6 +134,8 @@ def write_version(df: DataFrame, name: str, folder: str, partition_by: Sequence[
     spark.sql(f"ALTER TABLE {quoted(table)} RECOVER PARTITIONS")
     written = tuple(r[0] for r in spark.sql(f"SHOW PARTITIONS {quoted(table)}").collect())
     before = partition_folders(spark, name) if keep else {}
+    if any(set(parsed(spec)) != set(partition_by) for spec in before):
+        raise ValueError(f"{name} is not split by {', '.join(partition_by)}, so its partitions cannot be kept")
     taken = {spec: place for spec, place in before.items() if keep(parsed(spec)) and spec not in written}
     specs = sorted(taken)
     for at in range(0, len(specs), _AT_ONCE):
