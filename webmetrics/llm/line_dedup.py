@@ -25,6 +25,8 @@ FILTER_LONGS = 1 << 16
 LEADING, FREQUENT, ABOVE = 6, 6, 2
 #: Lines of such a group that the others are compared with in turn, before all pairs of what is left.
 TURNS = 3
+#: Parts of the words that are joined one after the other.
+PASSES = 4
 
 _BLANKS = "\t\x0b\f\r"  # white space within a line, besides the space
 
@@ -157,8 +159,22 @@ def _starred(entries: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def _alike(first: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b), a before b and b open still, of the first lines of all sets."""
+    """Candidate pairs (a, b), a before b and b open still, of the first lines of all sets.
+
+    Words are joined in `PASSES` parts, each kept before the next, so that only one part's entries lie on disk.
+    """
+    parts = None
+    for part in range(PASSES):
+        found = cut(_sharing(first, percent, part))
+        parts = found if parts is None else parts.unionByName(found)
+    shared = parts.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").agg(F.sum("count").alias("count"))
+    return shared.where("count >= common").drop("common", "count")
+
+
+def _sharing(first: DataFrame, percent: int, part: int) -> DataFrame:
+    """Pairs that share first words of one part, how many of them, and how many they must share in all parts."""
     entries = first.select(F.posexplode("start").alias("at", "token"), "doc", "line", "n", "sketch", "open")
+    entries = entries.where(F.pmod("token", F.lit(PASSES)) == part)
     x, y = entries.alias("x"), entries.alias("y")
     n = F.col("x.n") + F.col("y.n")
     indexed = F.col("x.n") - _at_least(2 * percent, 100 + percent, F.col("x.n")) + _common(F.col("x.n")) - F.col("x.at")
@@ -174,8 +190,7 @@ def _alike(first: DataFrame, percent: int) -> DataFrame:
         & ((before + after) * (100 + percent) >= n * percent),
     )
     pair = joined.select(*_pair(F.least(left, right), F.greatest(left, right)), _common(F.col("x.n")).alias("common"))
-    shared = pair.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").count()
-    return shared.where("count >= common").drop("common", "count")
+    return pair.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").count()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +222,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
         found = _verified(docs, cut(_starred(still, percent, turn)), percent)
         later = cut(found if later is None else later.unionByName(found).distinct())
     closed = later.withColumn("closed", F.lit(True))
-    first = first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull())
+    first = cut(first.join(closed, ["doc", "line"], "left").select(*first.columns, F.col("closed").isNull().alias("open")))
     later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
     places = lines.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
     places = places.join(later.select("doc", F.col("line").alias("first_line"), F.lit(True).alias("gone")), ["doc", "first_line"], "left")
