@@ -3,7 +3,7 @@
 N-grams have one global order, rare before common. The order is cut into fragments; candidate pairs come from
 the rare beginnings of the ordered sets, and a pair's overlap is counted in each fragment apart and summed.
 Documents with one and the same set are one node, and a group of near copies is linked through few of its
-members, so that no group is written out as all its pairs.
+members, so that no group is written out as all its pairs; its links are counted by blocks of sets.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ FRAGMENTS = 8
 SKETCH = 8
 #: Sets of `LARGE` n-grams and more have a wider sketch besides, of so many longs.
 WIDE, LARGE = 64, 800
+#: N-grams of a block of sets whose links are counted together; a set counts as `LEAST_WEIGHT` of them at least.
+BLOCK, LEAST_WEIGHT = 1 << 17, 128
+#: N-grams of so many sets of a block give their pairs one by one.
+FEW = 8
+#: Place of documents without an id.
+NO_ID = -(1 << 63)
 
 
 def _sets(texts: Texts, size: int) -> list[np.ndarray]:
@@ -182,7 +189,7 @@ def _fragments(docs: DataFrame, size: int, levels, pivots: np.ndarray, bits: byt
                             parts.append(part)
                 yield pa.RecordBatch.from_arrays([kept.column(0).take(pa.array(ids, pa.int64())), pa.array(names, pa.binary()), pa.array(which, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "set_key", "fragment", "keys"])
 
-    rows = docs.withColumn("bit", filter_bit(F.xxhash64("doc_id")))
+    rows = docs.withColumn("bit", filter_bit(F.xxhash64(_place())))
     return rows.mapInArrow(fragment, "doc_id long, set_key binary, fragment int, keys array<long>")
 
 
@@ -195,6 +202,53 @@ def _possible(percent: int) -> Column:
     return (shorter * 100 >= longer * percent) & enough
 
 
+def _place() -> Column:
+    """Where a document is looked for: its id; those without one share a place."""
+    return F.coalesce("doc_id", F.lit(NO_ID)).alias("place")
+
+
+def _overlaps(keys: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """How many keys each two of `sets` sets share; `owner` tells the set of each key. The diagonal is of no use."""
+    values, of, times = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(of, kind="stable")
+    who, begin = owner[order], np.cumsum(times) - times
+    few = FEW if sets > 4 * FEW else 1
+    common = np.zeros((sets, sets), np.float32)
+    for size in range(2, few + 1):  # keys of few sets give their pairs
+        own = who[begin[times == size][:, None] + np.arange(size)]
+        for a in range(size):
+            for b in range(a + 1, size):
+                common += np.bincount(own[:, a] * sets + own[:, b], minlength=sets * sets).reshape(sets, sets)
+    common += common.T
+    many = np.flatnonzero(times > few)  # the others are columns of a product
+    for first in range(0, len(many), 4096):
+        some = many[first : first + 4096]
+        held = np.zeros((sets, len(some)), np.float32)
+        for column, k in enumerate(some.tolist()):
+            held[who[begin[k] : begin[k] + times[k]], column] = 1
+        common += held @ held.T
+    return common
+
+
+def _counter(percent: int):
+    """Counts, for the sets of one block or of two, how many of the block's (or of the other's) are alike enough."""
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = table.column("keys").combine_chunks()
+        n = pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+        common = _overlaps(keys.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), len(n))
+        alike = common * 100 >= percent * (n[:, None] + n[None, :] - common)
+        np.fill_diagonal(alike, False)
+        block = table.column("block").to_numpy()
+        if block.min() != block.max():
+            alike &= block[:, None] != block[None, :]
+        elif table.column("i")[0] != table.column("j")[0]:
+            alike[:] = False  # hashing left the other block empty
+        return pa.table({"node": table.column("node"), "n_links": pa.array(alike.sum(1), pa.int64())})
+
+    return count
+
+
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int, fragments: int) -> None:
         self.docs, self.size, self.percent = docs, size, percent
@@ -203,53 +257,71 @@ class _Join:
         self.levels = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
         self.pivots = _pivots(levels, fragments)
         self.measured = measured.where("block is null").select("doc_id", "n", "set_key")
-        own = self.measured.where("n > 0 and doc_id is not null").select("doc_id", "set_key")
-        # Ids that are repeated with other texts, which stand for none of them if there is another id.
+        some = self.measured.where("n > 0")
+        # Ids that are repeated with other texts.
+        own = some.where("doc_id is not null").select("doc_id", "set_key")
         twice = cut(own.distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"))
         self.twice = None if twice.isEmpty() else twice
-        low, rep = F.min("doc_id").alias("low"), F.min("doc_id").alias("rep")
-        if self.twice is not None:
-            own = own.join(twice.withColumn("again", F.lit(True)), "doc_id", "left")
-            rep = F.coalesce(F.min(F.when(F.col("again").isNull(), F.col("doc_id"))), F.min("doc_id")).alias("rep")
-        sets = own.groupBy("set_key").agg(rep, low)
-        # One set for each id: of sets that have no id but the same repeated ones, one is compared.
-        self.sets = cut(sets.groupBy("rep").agg(F.min(F.struct("set_key", "low")).alias("s")).select("rep", "s.set_key", "s.low"))
+        # Every distinct set is a node, whatever ids have it. Numbers follow the smallest ids and are kept with the checkpoint.
+        sets = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+        sets = sets.select("set_key", "n", F.col("doc_id").alias("low"), _place())
+        sets = sets.repartitionByRange("low").sortWithinPartitions("low")
+        self.sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
 
     def same_ids(self) -> DataFrame:
         """Links (a, b) between the sets of an id that is repeated with other texts."""
-        of_id = self.measured.join(self.twice, "doc_id", "left_semi").join(self.sets, "set_key").select("doc_id", "rep").distinct()
-        least = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"))
-        return of_id.join(least, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-
-    def nodes(self) -> DataFrame:
-        return self.sets.select(F.col("rep").alias("doc_id"), "set_key")
+        of_id = self.measured.join(self.twice, "doc_id", "left_semi").join(self.sets.select("set_key", "node"), "set_key")
+        of_id = of_id.select("doc_id", "node").distinct()
+        least = of_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+        return of_id.join(least, "doc_id").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
     def beginnings(self) -> DataFrame:
-        """(doc, n, keys, sketches) of each distinct set, under its smallest document."""
+        """(doc, n, keys, sketches) of each distinct set, `doc` being its number."""
         begun = _beginnings(self.docs, self.size, self.levels, self.percent)
-        return self._of_nodes(begun, ["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "keys", "sketch", "wide")
+        return self._of_nodes(begun, []).select(F.col("node").alias("doc"), "n", "keys", "sketch", "wide")
 
     def _of_nodes(self, rows: DataFrame, key: list[str]) -> DataFrame:
-        """Rows of the sets that are nodes, once for each `key`; one shuffle by document serves both."""
-        nodes = self.sets.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("own_key"))
-        return rows.join(nodes, "doc_id").where("set_key = own_key").drop("own_key", "set_key").dropDuplicates(key)
+        """Rows of each node's first document, once for each `key`; one shuffle by document and set serves both."""
+        nodes = self.sets.select("place", "set_key", "node")
+        found = rows.withColumn("place", _place()).drop("doc_id").join(nodes, ["place", "set_key"])
+        return found.dropDuplicates(["place", "set_key", *key]).drop("place", "set_key")
+
+    def _parts(self, nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
+        """(node, fragment, keys) of at least `nodes` (id)."""
+        places = nodes.join(self.sets.select(F.col("node").alias("id"), "place"), "id")
+        bits = member_bits(places, F.xxhash64("place"))
+        return self._of_nodes(_fragments(self.docs, self.size, self.levels, pivots, bits), ["fragment"])
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those that are alike enough: overlaps counted by fragment, then summed."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        bits = member_bits(ids, F.xxhash64("id"))
-        parts = _fragments(self.docs, self.size, self.levels, self.pivots, bits)
-        parts = cut(self._of_nodes(parts, ["doc_id", "fragment"]))
-        left = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("keys").alias("a_keys"))
-        right = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("keys").alias("b_keys"))
+        parts = cut(self._parts(pairs.select(F.explode(F.array("a", "b")).alias("id")), self.pivots))
+        left = parts.select(F.col("node").alias("a"), "fragment", F.col("keys").alias("a_keys"))
+        right = parts.select(F.col("node").alias("b"), "fragment", F.col("keys").alias("b_keys"))
         both = pairs.join(left, "a").join(right, ["b", "fragment"])
         partial = both.select("a", "b", F.size(F.array_intersect("a_keys", "b_keys")).cast("long").alias("shared"))
         sums = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-        sizes = self.measured.join(self.nodes(), ["doc_id", "set_key"], "left_semi").select("doc_id", "n").distinct()
-        sums = sums.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n")), "a")
-        sums = sums.join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n")), "b")
+        sums = sums.join(self.sets.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a")
+        sums = sums.join(self.sets.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b")
         return sums.where(F.col("shared") * 100 >= self.percent * (F.col("a_n") + F.col("b_n") - F.col("shared")))
 
+    def degrees(self, known: DataFrame) -> DataFrame:
+        """(node, n_links): of each node of `known` (node, component), how many others are alike enough.
+
+        Those are in its component. A component is dealt into blocks of about `BLOCK` n-grams, and each two blocks
+        are compared by one task, which holds no more than these and gives a row for each of their sets.
+        """
+        placed = known.join(self.sets.select("node", "n"), "node")
+        weight = F.sum(F.greatest("n", F.lit(LEAST_WEIGHT)))
+        blocks = placed.groupBy("component").agg(F.ceil(weight / F.lit(BLOCK)).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        dealt = placed.join(blocks, "component").select("node", "component", "blocks", block)
+        whole = self._parts(known.select(F.col("node").alias("id")), np.zeros(0, np.int64)).select("node", "keys")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        sides = whole.join(dealt, "node").select("node", "component", "block", "keys", other)
+        sides = sides.select("node", "component", "block", "keys", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        counted = sides.groupBy("component", "i", "j").applyInArrow(_counter(self.percent), "node long, n_links long")
+        return counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
 
 def ngram_components(
     docs: DataFrame,
@@ -264,19 +336,20 @@ def ngram_components(
     Words are what ASCII white space parts, A-Z in lower case. A set is the distinct `size`-word n-grams of a whole
     text, with fewer words all of them as one n-gram. Two documents are linked when 100 times what both sets hold is
     at least `percent` times what either holds; `component_id` is the smallest id reachable by links, and `n_links`
-    how many different sets a document's set was found linked to on the way.
+    to how many different sets a document's set is linked.
 
-    1. Every text's set gets a 128-bit key; equal sets are one node, under the smallest id.
+    1. Every text's set gets a 128-bit key; equal sets are one node.
     2. Counts of all n-grams, in counters of a fixed number, order n-grams from rare to common.
     3. First candidates: each n-gram in the beginnings of sets pairs its sets with one of them only.
     4. Overlaps are counted by fragment and summed; links give components.
     5. Then every pair whose sets share such an n-gram, passes the length, positional and sketch filters, and is not
        in one component yet, is counted alike. So no pair that could join two components is missed, and groups of
-       near copies never give all their pairs.
+       near copies never give all their pairs as rows.
+    6. All links lie inside components. Blocks of a component's sets are compared two by two, which counts the links.
 
-    Null or empty texts, and texts of white space, have empty sets and are linked with nothing. A null id is its own
-    component (null). Repeated rows are one document; an id that is repeated with other texts links them and what
-    equals them, but of texts that only such ids have, one is compared with others. Empty tables give no rows.
+    Null or empty texts, and texts of white space, have empty sets and are linked with nothing. Rows without an id are
+    linked as others are; a component of such rows only has no id. Repeated rows are one document; an id that is
+    repeated with other texts links them and what equals them, which `n_links` does not count. Empty tables give no rows.
     """
     rows = _rows(docs, id_column, text_column)
     join = _Join(rows, size, percent, fragments)
@@ -304,15 +377,12 @@ def ngram_components(
     second = apart.where(_possible(percent) & _close(percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     second = cut(near(second.join(first, ["a", "b"], "left_anti")))
     links = cut(links.unionByName(join.linked(second).select("a", "b")))
-    final = components(links if join.twice is None else links.unionByName(join.same_ids()))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = join.sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    nodes = nodes.select("set_key", "low", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    if join.twice is not None:  # the smallest id may be one that stands for no set
-        lows = nodes.groupBy("component").agg(F.min("low").alias("smallest"))
-        nodes = nodes.join(lows, "component").drop("component").withColumnRenamed("smallest", "component")
-    nodes = nodes.drop("low")
+    final = cut(components(links if join.twice is None else links.unionByName(join.same_ids())))
+    own = final.join(join.sets.select("node", "low"), "node")
+    lows = own.groupBy("component").agg(F.min("low").alias("smallest"))
+    placed = final.join(lows, "component").join(join.degrees(final), "node", "left").select("node", "smallest", "n_links")
+    nodes = join.sets.select("set_key", "node", "low").join(placed, "node", "left")
+    nodes = nodes.select("set_key", F.coalesce("smallest", "low").alias("smallest"), "n_links")
     out = join.measured.join(nodes, "set_key", "left")
-    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
