@@ -20,6 +20,8 @@ from webmetrics.spec import Day
 MOMENT, DAY, STRETCH = "event_datetime", "event_date", "stretch"
 #: Rows of a stretch, about.
 ROWS_PER_STRETCH = 1_000_000
+#: Ranges that are sorted apart, unless there are fewer stretches.
+LEAST_RANGES = 200
 #: Stretches looked at first.
 FIRST_LOOK = 2
 
@@ -28,14 +30,24 @@ FIRST_LOOK = 2
 Match = Callable[[DataFrame, int], DataFrame]
 
 
-def cut_into_stretches(rows: DataFrame, count: int, order: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with their stretch, from the earliest to the latest; rows without a time come first.
+def cut_into_stretches(rows: DataFrame, total: int, size: int, order: Sequence[str] = ()) -> DataFrame:
+    """``rows``, ``total`` of them, with their stretch of about ``size`` rows, from the earliest to the latest; rows
+    without a time come first.
 
-    ``order`` names further columns, which spread rows of one moment over several stretches.
+    ``order`` names further columns, which spread rows of one moment over several stretches. The driver samples keys
+    for each range, so there are no more ranges than tasks are wanted; each is sorted and cut into its stretches where
+    it lies.
     """
+    count = max(1, -(-total // size))
+    ranges = min(count, max(LEAST_RANGES, -(-total // ROWS_PER_STRETCH)))
+    within = -(-count // ranges)
     keys = [F.asc_nulls_first(c) for c in (MOMENT, *order)]
-    dealt = rows.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
-    return dealt.withColumn(STRETCH, F.spark_partition_id())
+    dealt = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    if within == 1:
+        return dealt.withColumn(STRETCH, F.spark_partition_id())
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of a row in its range
+    number = F.least(F.floor(place / F.lit(-(-total // (ranges * within)))), F.lit(within - 1))
+    return dealt.withColumn(STRETCH, (F.spark_partition_id() * within + number).cast("int"))
 
 
 def describe(rows: DataFrame) -> DataFrame:

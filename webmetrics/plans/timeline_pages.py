@@ -27,9 +27,8 @@ def store_timeline(rows: DataFrame, name: str, layout: StoreLayout = StoreLayout
     """Store ``events`` or ``products`` in order of time, as ``<name>_timeline`` with its index."""
     spark, folder = rows.sparkSession, layout.folder(rows.sparkSession)
     stored = rows.select(*STORED_COLUMNS[name])
-    count = max(1, -(-stored.count() // rows_per_stretch))
     times_with_statistics(spark)
-    cut = cut_into_stretches(stored, count, _SPREAD[name])
+    cut = cut_into_stretches(stored, stored.count(), rows_per_stretch, _SPREAD[name])
     data = write_version(cut, layout.table(f"{name}_timeline"), folder, [STRETCH])
     index = write_version(describe(data.rows()).coalesce(1), layout.table(f"{name}_stretches"), folder)
     data.switch()
