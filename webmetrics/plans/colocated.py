@@ -18,6 +18,7 @@ from webmetrics.operators.colocation import (
 )
 from webmetrics.operators.ordering import top_k
 from webmetrics.schema import UNCATEGORISED
+from webmetrics.sources.scan import materialize
 from webmetrics.sources.sink import StoreLayout, times_with_statistics
 from webmetrics.sources.versions import Version, write_version
 from webmetrics.spec import FilterSpec
@@ -46,11 +47,16 @@ def store_colocated(products: DataFrame, events: DataFrame, buckets: int, layout
                     rows_per_salt: int = ROWS_PER_SALT) -> Colocated:
     """Store both sides. ``buckets`` is the parallelism of later joins: choose it so that a bucket of products
     fits a task, some hundred megabytes."""
-    hot = hot_keys(products, rows_per_salt)
-    staged = [
-        _bucketed(salted_products(products, hot, buckets), "products_by_event", layout, buckets),
-        _bucketed(audiences(events, hot), "audiences_by_event", layout, buckets),
-    ]
+    # Known before the joins with it are planned, so that a small one is broadcast and products are shuffled once.
+    hot = materialize(hot_keys(products, rows_per_salt))
+    hot.count()
+    try:
+        staged = [
+            _bucketed(salted_products(products, hot, buckets), "products_by_event", layout, buckets),
+            _bucketed(audiences(events, hot), "audiences_by_event", layout, buckets),
+        ]
+    finally:
+        hot.unpersist()
     for version in staged:
         version.switch()
     return open_colocated(products.sparkSession, layout)
