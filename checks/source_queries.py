@@ -371,8 +371,9 @@ def _(spark, folder):
     GROUP BY event_name, item_id"""))
 def _(spark, folder):
     # Lists of one to three items, and empty ones, which must vanish.
-    records = sample.raw_bundles(spark, folder).unionByName(sample.raw_events(spark, folder))
-    return explode_items(records).groupBy("event_name", "item_id").agg(
+    records = sample.raw_bundles(spark, folder, by_field=True).unionByName(
+        sample.raw_events(spark, folder, by_field=True))
+    return explode_items(records, by_field=True).groupBy("event_name", "item_id").agg(
         F.count(F.lit(1)).alias("item_count"), F.sum("item_quantity").alias("quantity"))
 
 
