@@ -1,12 +1,16 @@
 """Line duplicates by an exact set-similarity join, in DataFrame functions only.
 
 Lines are sets of words. Words are ordered from rare to common; two sets that are alike enough share a word among
-the first few of each, long ones several, so only those few are joined. Length, positions and a parity sketch thin
-the pairs, the words themselves decide, and of two lines that are alike the later one goes.
+the first few of each, long ones several, so only those few are joined. Length, positions and parity sketches thin
+the pairs, the words themselves decide, and of two lines that are alike the later one goes. Before that, lines of
+groups of near copies are compared with a few of their group, and what goes by this is no later line of any pair.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +24,14 @@ COUNTERS = 1 << 19
 #: Longs of a membership filter that thins rows before a join.
 FILTER_LONGS = 1 << 16
 
-#: Of a set's rarest words so many, and frequent from so many doublings on, and so many above the mean of the counters,
-#: look for large groups of near copies.
-LEADING, FREQUENT, ABOVE = 6, 6, 2
-#: Lines of such a group that the others are compared with in turn, before all pairs of what is left.
-TURNS = 3
+#: A set's word next to each of these numbers, by its hash, stands for the set: of three, near copies share two nearly always.
+MARKS = (0x00000000, 0x5A3C96E1, 0xB7E15162)
+#: Sets of so many words have a sketch of two further longs: among that many words, one of 64 bits tells few sets apart.
+WIDE = 80
+#: Lines that share such a pair are a group from so many on, whatever the corpus holds.
+CROWD = 16
+#: So many lines lead a group, each other line is compared with so many of them, in so many turns, before all pairs of what is left.
+LEADERS, NEAREST, TURNS = 16, 4, 2
 #: Parts of the words that are joined one after the other.
 PASSES = 4
 
@@ -103,19 +110,24 @@ def _common(n: Column) -> Column:
     return F.shiftright(n, 5) + 1
 
 
-def _usual(levels: DataFrame) -> int:
-    """The level of the mean counter."""
-    sums = F.aggregate("levels", F.lit(0.0), lambda total, level: total + F.pow(F.lit(2.0), level))
-    return int(levels.select(F.floor(F.log2(F.greatest(sums / COUNTERS, F.lit(1.0))))).first()[0])
+def _beside(mark: int, key: Column) -> Column:
+    """How far the hash of a word is from a mark; the nearest word differs from mark to mark."""
+    return key.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(mark))
 
 
 def _sets(docs: DataFrame, levels: DataFrame, percent: int, least: int) -> DataFrame:
-    """(doc_id, line, n, k1, k2, sketch, start): each line's set by a 128-bit key, and its first words."""
+    """(doc_id, line, n, k1, k2, sketch, wide0, wide1, near, start): each line's set by a 128-bit key, words by `MARKS`, and its first words."""
     # A subquery that is read once: the table is no part of the plan's text, and Spark puts it where it is used.
     lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]")).withColumn("levels", levels.scalar())
     rows = lines.select("doc_id", "line", _keys(_words(F.col("body")), F.col("levels")).alias("keys"))
     rows = rows.withColumn("n", F.size("keys")).where(F.col("n") >= least)
     flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long"))))
+    zero, other = F.lit(0).cast("long"), F.transform("keys", lambda key: F.shiftright(key, 6))
+
+    def wide(half: int) -> Column:
+        ours = F.filter(other, lambda key: F.shiftright(key, 6).bitwiseAND(F.lit(1).cast("long")) == half)
+        return F.when(F.col("n") >= WIDE, F.aggregate(ours, zero, flip))
+
     start = F.slice("keys", 1, F.col("n") - _at_least(percent, 100, F.col("n")) + _common(F.col("n")))
     return rows.select(
         "doc_id",
@@ -123,7 +135,9 @@ def _sets(docs: DataFrame, levels: DataFrame, percent: int, least: int) -> DataF
         "n",
         F.xxhash64("keys").alias("k1"),
         F.xxhash64(F.lit(1), "keys").alias("k2"),
-        F.aggregate("keys", F.lit(0).cast("long"), flip).alias("sketch"),
+        F.aggregate("keys", zero, flip).alias("sketch"),
+        *(wide(half).alias(f"wide{half}") for half in (0, 1)),
+        F.array(*(F.array_min(F.transform("keys", partial(_beside, mark))) for mark in MARKS)).alias("near"),
         # Level and 28 bits of the hash: words that fall together only give pairs that the words themselves refute.
         F.transform(start, lambda key: (F.shiftright(key, 56) * (1 << 28) + key % (1 << 28) - (1 << 31)).cast("int")).alias("start"),
     )
@@ -139,23 +153,42 @@ def _close(n: Column, m: Column, sketch: Column, other: Column, percent: int) ->
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & apart
 
 
-def _frequent(first: DataFrame, least: int) -> DataFrame:
-    """Entries of words that are among a set's rarest and frequent all the same: lines of large groups of near copies have such."""
-    entries = first.select(F.explode(F.slice("start", 1, LEADING)).alias("token"), "doc", "line", "n", "sketch")
-    return entries.where(F.shiftright(F.col("token").cast("long") + (1 << 31), 28) >= least)
+def _wide_close(x: str, y: str, percent: int) -> Column:
+    """Whether the wide sketches, if both sets have one, allow two sets to be alike enough."""
+    bits = sum(F.bit_count(F.col(f"{x}.wide{half}").bitwiseXOR(F.col(f"{y}.wide{half}"))) for half in (0, 1))
+    return F.coalesce(bits * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent), F.lit(True))
+
+
+def _crowds(first: DataFrame) -> DataFrame:
+    """(key, doc, line, n, sketch): lines by pairs of the words that stand for them, of pairs that at least `CROWD` lines share.
+
+    Large groups of near copies have such pairs. Their size decides, not how frequent their words are, so what is left
+    to the join of all words does not grow with the square of the corpus.
+    """
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("near")[i], F.lit(j), F.col("near")[j]) for i, j in combinations(range(len(MARKS)), 2)))
+    entries = first.select(F.explode(keys).alias("key"), "doc", "line", "n", "sketch")
+    crowds = entries.groupBy("key").count().where(F.col("count") >= CROWD).select("key")
+    return entries.join(crowds, "key", "left_semi")
+
+
+def _leaders(entries: DataFrame) -> DataFrame:
+    """(key, a): the earliest `LEADERS` lines of each key."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc", "line"))
+    first = entries.withColumn("rank", rank).where(F.col("rank") <= LEADERS)
+    return first.select("key", F.struct("doc", "line", "n", "sketch").alias("a"))
 
 
-def _starred(entries: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of the open line of rank `turn` and all later open lines that share a frequent word with it.
+def _starred(entries: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each line and those `NEAREST` earlier leaders of its keys whose sketches are nearest.
 
-    Most lines of large groups go by a comparison with one or two lines each.
+    Most lines of large groups go by a comparison with a few lines each.
     """
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
-    leaders = entries.withColumn("rank", rank).where(F.col("rank") <= turn).where(F.col("rank") == turn)
-    leaders = leaders.select("token", F.struct("doc", "line", "n", "sketch").alias("a"))
-    joined = entries.join(leaders, "token").where(_close(F.col("a.n"), F.col("n"), F.col("a.sketch"), F.col("sketch"), percent))
-    own, leader = F.struct("doc", "line"), F.struct("a.doc", "a.line")
-    return joined.where(leader < own).select(*_pair(leader, own)).distinct()
+    joined = entries.join(leaders, "key").where(_close(F.col("a.n"), F.col("n"), F.col("a.sketch"), F.col("sketch"), percent))
+    joined = joined.where(F.struct("a.doc", "a.line") < F.struct("doc", "line"))
+    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("a.sketch"))).alias("apart")
+    nearest = F.slice(F.sort_array(F.collect_set(F.struct(apart, "a.doc", "a.line"))), 1, NEAREST)
+    pairs = joined.groupBy("doc", "line").agg(nearest.alias("a")).withColumn("a", F.explode("a"))
+    return pairs.select(*_pair(F.struct("a.doc", "a.line"), F.struct("doc", "line")))
 
 
 def _alike(first: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +206,7 @@ def _alike(first: DataFrame, percent: int) -> DataFrame:
 
 def _sharing(first: DataFrame, percent: int, part: int) -> DataFrame:
     """Pairs that share first words of one part, how many of them, and how many they must share in all parts."""
-    entries = first.select(F.posexplode("start").alias("at", "token"), "doc", "line", "n", "sketch", "open")
+    entries = first.select(F.posexplode("start").alias("at", "token"), *(c for c in first.columns if c != "start"))
     entries = entries.where(F.pmod("token", F.lit(PASSES)) == part)
     x, y = entries.alias("x"), entries.alias("y")
     n = F.col("x.n") + F.col("y.n")
@@ -186,6 +219,7 @@ def _sharing(first: DataFrame, percent: int, part: int) -> DataFrame:
         & (F.least(indexed, F.col("y.n")) > 0)  # names both sides, so that they stay one shuffle
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (left < right)))
         & _close(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
+        & _wide_close("x", "y", percent)
         & F.when(left < right, F.col("y.open")).otherwise(F.col("x.open"))
         & ((before + after) * (100 + percent) >= n * percent),
     )
@@ -212,17 +246,21 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
     levels = _levels(docs)
     sets = cut(_sets(docs, levels, percent, least))
     place = F.min(F.struct("doc_id", "line")).alias("p")
-    first = sets.groupBy("k1", "k2").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("start").alias("start"))
-    first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", "n", "sketch", "start"))
+    same = ["n", "sketch", "wide0", "wide1", "near", "start"]
+    first = sets.groupBy("k1", "k2").agg(place, *(F.first(c).alias(c) for c in same))
+    first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", *same))
     lines = stored(sets.select("doc_id", "line", "k1", "k2"), "lines")
     del sets  # its beginnings of sets are the largest part of what is kept
-    later, entries = None, cut(_frequent(first, min(max(FREQUENT, _usual(levels) + ABOVE), 15)))
-    for turn in range(1, TURNS + 1):
-        still = entries if later is None else entries.join(later, ["doc", "line"], "left_anti")
-        found = _verified(docs, cut(_starred(still, percent, turn)), percent)
-        later = cut(found if later is None else later.unionByName(found).distinct())
+    later, entries = None, cut(_crowds(first))
+    for _ in range(TURNS):
+        leaders = cut(_leaders(entries))
+        found = cut(_verified(docs, cut(_starred(entries, leaders, percent)), percent))
+        led = leaders.select("key", "a.doc", "a.line")
+        entries = cut(entries.join(led, ["key", "doc", "line"], "left_anti").join(found, ["doc", "line"], "left_anti"))
+        later = found if later is None else later.unionByName(found)
+    del entries, leaders, led
     closed = later.withColumn("closed", F.lit(True))
-    first = cut(first.join(closed, ["doc", "line"], "left").select(*first.columns, F.col("closed").isNull().alias("open")))
+    first = cut(first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull()).drop("closed", "near"))
     later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
     places = lines.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
     places = places.join(later.select("doc", F.col("line").alias("first_line"), F.lit(True).alias("gone")), ["doc", "first_line"], "left")
