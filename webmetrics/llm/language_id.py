@@ -31,7 +31,8 @@ SHARPNESS = 3.0
 #: A document is rejected below this score.
 LEAST_SCORE = 0.3
 
-_BATCH = 128  # documents whose indicator vectors are held at once
+_BATCH = 32  # documents whose indicator vectors are held at once
+_SLICE = 1 << 18  # bytes of text whose n-grams are held at once, in some 30 times as many bytes
 _LETTERS = np.full(256, 0x20, np.uint8)  # letters in lower case, all else a blank
 _LETTERS[0x80:] = np.arange(0x80, 0x100)
 _LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -76,7 +77,7 @@ def _indicators(texts: Texts) -> Iterator[tuple[int, np.ndarray]]:
 def _training_bits(docs: DataFrame) -> DataFrame:
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(0)):
+            for texts in slices(batch.column(0), _SLICE):
                 letters = _has_letter(texts)
                 for first, rows in _indicators(texts):
                     at = np.flatnonzero(letters[first : first + len(rows)])
@@ -147,7 +148,7 @@ def _scorer(model: Model, text_column: str):
         for batch in batches:
             pick = np.full(batch.num_rows, len(languages) - 1)
             score = np.zeros(batch.num_rows)
-            for texts in slices(batch.column(text_column)) if len(languages) > 1 else ():
+            for texts in slices(batch.column(text_column), _SLICE) if len(languages) > 1 else ():
                 letters = _has_letter(texts)
                 for first, rows in _indicators(texts):
                     own = letters[first : first + len(rows)]
