@@ -70,7 +70,11 @@ def _passes(bits: DataFrame, key: Column) -> Column:
 
 def _split(text: Column, blanks: str) -> Column:
     """Words of a text, and empty ones where blanks follow one another."""
-    return F.split(F.translate(F.lower(text), blanks, " " * len(blanks)), " ")
+    # One blank after the other: Spark searches bytes for each, while `translate` makes a string of every character.
+    plain = F.lower(text)
+    for blank in blanks:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.split(plain, " ")
 
 
 def _words(body: Column) -> Column:
@@ -120,6 +124,8 @@ def _sets(docs: DataFrame, levels: DataFrame, percent: int, least: int) -> DataF
     # A subquery that is read once: the table is no part of the plan's text, and Spark puts it where it is used.
     lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]")).withColumn("levels", levels.scalar())
     rows = lines.select("doc_id", "line", _keys(_words(F.col("body")), F.col("levels")).alias("keys"))
+    # Exploded, so that words are read once: Spark would move the condition on `n`, keys and all, below the projection.
+    rows = rows.select("doc_id", "line", F.explode(F.array("keys")).alias("keys"))
     rows = rows.withColumn("n", F.size("keys")).where(F.col("n") >= least)
     flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long"))))
     zero, other = F.lit(0).cast("long"), F.transform("keys", lambda key: F.shiftright(key, 6))
@@ -295,11 +301,13 @@ def dedup_lines(
     hit = F.coalesce(_passes(bits, F.xxhash64(F.col(id_column).cast("long"))), F.lit(False)) & F.col(id_column).isNotNull()
     names = [c for c in docs.columns if c != removed_column]
     same = docs.where(~hit).select(*names, F.lit(0).alias(removed_column))
-    lines = F.split(text_column, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
-    text = F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
-    text = F.when(F.col(lost).isNull(), F.col(text_column)).otherwise(text)
     changed = docs.where(hit).join(gone, F.col(id_column).cast("long") == F.col(key), "left")
+    split = free_name(changed, "_lines")
+    # Split once a text: written out inside the lambda, it would be split again for each line.
+    changed = changed.withColumn(split, F.split(text_column, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
+    text = F.array_join(F.transform(kept, lambda k: F.get(split, k)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col(text_column)).otherwise(text)
     size = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost))
     changed = changed.select(*(text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names), size.alias(removed_column))
     return same.unionByName(changed)
