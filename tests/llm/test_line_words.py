@@ -30,3 +30,10 @@ def test_every_blank_parts_words(spark):
     lines = ["a b c d e", "A\tb\x0bC\fd\re", " a  b\t\tc d \r e\f", "a\xa0b c d e f", "a\xa0b c d e\x1ff", "\x0b\f\t\r"]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in line_dedup.repeated_lines(docs).collect()) == [1, 2]
+
+
+def test_sets_pass_over_words_few_times(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    levels = spark.range(1).select(F.array_repeat(F.lit(0).cast("tinyint"), line_dedup.COUNTERS).alias("levels"))
+    text = plan(line_dedup._sets(docs, levels, 80, 5))
+    assert len(re.findall(r"\b(?:transform|aggregate|filter)\(", text)) <= 5

@@ -8,13 +8,13 @@ groups of near copies are compared with a few of their group, and what goes by t
 
 from __future__ import annotations
 
-from functools import partial
-from itertools import combinations
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, stored
+from .common import cut, free_name
 
 PERCENT = 80
 #: Lines with fewer different words are left alone, exact copies too, as the query's SQL has it.
@@ -24,8 +24,6 @@ COUNTERS = 1 << 19
 #: Longs of a membership filter that thins rows before a join.
 FILTER_LONGS = 1 << 16
 
-#: A set's word next to each of these numbers, by its hash, stands for the set: of three, near copies share two nearly always.
-MARKS = (0x00000000, 0x5A3C96E1, 0xB7E15162)
 #: Sets of so many words have a sketch of two further longs: among that many words, one of 64 bits tells few sets apart.
 WIDE = 80
 #: Lines that share such a pair are a group from so many on, whatever the corpus holds.
@@ -68,22 +66,26 @@ def _passes(bits: DataFrame, key: Column) -> Column:
     return _right(F.get(bits.scalar(), F.shiftright(bit, 6).cast("int")), bit % 64).bitwiseAND(F.lit(1).cast("long")) != 0
 
 
-def _split(text: Column, blanks: str) -> Column:
-    """Words of a text, and empty ones where blanks follow one another."""
+def _split(body: Column) -> Column:
+    """Words of a line, and empty ones where blanks follow one another."""
     # One blank after the other: Spark searches bytes for each, while `translate` makes a string of every character.
-    plain = F.lower(text)
-    for blank in blanks:
+    # `contains` finds out faster than `replace` that a blank is not there.
+    plain = body
+    for blank in _BLANKS:
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    return F.split(plain, " ")
+    rare = reduce(or_, (F.contains(body, F.lit(blank)) for blank in _BLANKS))
+    return F.split(F.lower(F.when(rare, plain).otherwise(body)), " ")
 
 
 def _words(body: Column) -> Column:
-    return F.array_remove(_split(body, _BLANKS), "")
+    return F.array_remove(_split(body), "")
 
 
 def _levels(texts: DataFrame) -> DataFrame:
     """Frequency of words in doublings, for each counter, counted over all texts: one row (levels: `COUNTERS` small numbers)."""
-    words = texts.select(F.explode(_split(F.col("text"), _BLANKS + "\n")).alias("word")).where("word != ''")
+    # Of lines, as these seldom hold another blank than the space.
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("body"))
+    words = lines.select(F.explode(_split(F.col("body"))).alias("word")).where("word != ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("id")).count()
     level = F.least(F.floor(F.log2("count")), F.lit(15))
     return _row_of(counts.select("id", level.cast("tinyint").alias("v")), COUNTERS, F.lit(0).cast("tinyint"), "levels")
@@ -99,14 +101,25 @@ def _at_least(numerator: int, denominator: int, n: Column) -> Column:
     return F.floor((n * numerator + denominator - 1) / denominator).cast("int")
 
 
-def _keys(words: Column, levels: Column) -> Column:
-    """Words' places in the order, from the first on: frequency level, then hash."""
-    mask = F.lit(COUNTERS - 1).cast("long")
+def _hashes(words: Column) -> Column:
+    """Hashes of the different words, in their order."""
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
-    def key(hashed: Column) -> Column:
-        return F.shiftleft(F.get(levels, hashed.bitwiseAND(mask).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
+def _tokens(hashes: Column, levels: Column) -> Column:
+    """Words' places in the order: frequency level, then 28 bits of the hash.
+
+    Words that fall together only give pairs that the words themselves refute.
+    """
+
+    def bits(hashed: Column, count: int) -> Column:
+        return hashed.bitwiseAND(F.lit((1 << count) - 1).cast("long")).cast("int")
+
+    def token(hashed: Column) -> Column:
+        level = F.get(levels, bits(hashed, COUNTERS.bit_length() - 1)).cast("int")
+        return _left(level - 8, F.lit(28)).bitwiseOR(bits(hashed, 28))
+
+    return F.transform(hashes, token)
 
 
 def _common(n: Column) -> Column:
@@ -114,38 +127,37 @@ def _common(n: Column) -> Column:
     return F.shiftright(n, 5) + 1
 
 
-def _beside(mark: int, key: Column) -> Column:
-    """How far the hash of a word is from a mark; the nearest word differs from mark to mark."""
-    return key.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(mark))
-
-
 def _sets(docs: DataFrame, levels: DataFrame, percent: int, least: int) -> DataFrame:
-    """(doc_id, line, n, k1, k2, sketch, wide0, wide1, near, start): each line's set by a 128-bit key, words by `MARKS`, and its first words."""
+    """(doc_id, line, n, k1, k2, sketch, wide0, wide1, ends, start): each line's set by a 128-bit key, its least and greatest hashes, and its first words."""
     # A subquery that is read once: the table is no part of the plan's text, and Spark puts it where it is used.
-    lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]")).withColumn("levels", levels.scalar())
-    rows = lines.select("doc_id", "line", _keys(_words(F.col("body")), F.col("levels")).alias("keys"))
-    # Exploded, so that words are read once: Spark would move the condition on `n`, keys and all, below the projection.
-    rows = rows.select("doc_id", "line", F.explode(F.array("keys")).alias("keys"))
-    rows = rows.withColumn("n", F.size("keys")).where(F.col("n") >= least)
-    flip = lambda acc, key: acc.bitwiseXOR(_left(F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long"))))
-    zero, other = F.lit(0).cast("long"), F.transform("keys", lambda key: F.shiftright(key, 6))
-
-    def wide(half: int) -> Column:
-        ours = F.filter(other, lambda key: F.shiftright(key, 6).bitwiseAND(F.lit(1).cast("long")) == half)
-        return F.when(F.col("n") >= WIDE, F.aggregate(ours, zero, flip))
-
-    start = F.slice("keys", 1, F.col("n") - _at_least(percent, 100, F.col("n")) + _common(F.col("n")))
+    lines = _lines(docs).where(F.col("body").rlike(r"[^\x20\x09\x0B-\x0D]"))
+    # Exploded, so that words are read once: Spark would move the condition on `n`, hashes and all, below the projection.
+    rows = lines.select("doc_id", "line", F.explode(F.array(_hashes(_words(F.col("body"))))).alias("hashes"))
+    rows = rows.withColumn("n", F.size("hashes")).where(F.col("n") >= least).withColumn("levels", levels.scalar())
+    rows = rows.select("doc_id", "line", "n", "hashes", _tokens(F.col("hashes"), F.col("levels")).alias("tokens"))
+    rows = rows.select("doc_id", "line", "n", "hashes", F.explode(F.array("tokens")).alias("tokens"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def flips(tokens: Column, by: int) -> Column:
+        # Shifts take the last six bits of what they shift by.
+        return F.aggregate(tokens, zero, lambda acc, token: acc.bitwiseXOR(_left(one, F.shiftright(token, by) if by else token)))
+
+    # Words of negative hashes, which come first, and the others have a sketch each.
+    negative = F.array_position(F.sort_array(F.array_append("hashes", zero)), zero).cast("int") - 1
+    wide = F.col("n") >= WIDE
+    count = F.col("n") - _at_least(percent, 100, F.col("n")) + _common(F.col("n"))
+    ends = F.concat(F.slice("hashes", 1, 2), F.slice("hashes", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2)))
     return rows.select(
         "doc_id",
         "line",
         "n",
-        F.xxhash64("keys").alias("k1"),
-        F.xxhash64(F.lit(1), "keys").alias("k2"),
-        F.aggregate("keys", zero, flip).alias("sketch"),
-        *(wide(half).alias(f"wide{half}") for half in (0, 1)),
-        F.array(*(F.array_min(F.transform("keys", partial(_beside, mark))) for mark in MARKS)).alias("near"),
-        # Level and 28 bits of the hash: words that fall together only give pairs that the words themselves refute.
-        F.transform(start, lambda key: (F.shiftright(key, 56) * (1 << 28) + key % (1 << 28) - (1 << 31)).cast("int")).alias("start"),
+        F.xxhash64("hashes").alias("k1"),
+        F.xxhash64(F.lit(1), "hashes").alias("k2"),
+        flips(F.col("tokens"), 0).alias("sketch"),
+        F.when(wide, flips(F.slice("tokens", 1, negative), 6)).alias("wide0"),
+        F.when(wide, flips(F.slice("tokens", negative + 1, F.col("n")), 6)).alias("wide1"),
+        ends.alias("ends"),
+        F.slice(F.sort_array("tokens"), 1, count).alias("start"),
     )
 
 
@@ -166,15 +178,16 @@ def _wide_close(x: str, y: str, percent: int) -> Column:
 
 
 def _crowds(first: DataFrame) -> DataFrame:
-    """(key, doc, line, n, sketch): lines by pairs of the words that stand for them, of pairs that at least `CROWD` lines share.
+    """(key, doc, line, n, sketch): lines by pairs of their least and greatest hashes, of pairs that at least `CROWD` lines share.
 
     Large groups of near copies have such pairs. Their size decides, not how frequent their words are, so what is left
     to the join of all words does not grow with the square of the corpus.
     """
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("near")[i], F.lit(j), F.col("near")[j]) for i, j in combinations(range(len(MARKS)), 2)))
+    ends = [F.element_at("ends", k) for k in (1, 2, -2, -1)]
+    keys = F.array(*(F.xxhash64(F.lit(i), ends[i], ends[j]) for i, j in ((0, 1), (0, 3), (2, 3))))
     entries = first.select(F.explode(keys).alias("key"), "doc", "line", "n", "sketch")
-    crowds = entries.groupBy("key").count().where(F.col("count") >= CROWD).select("key")
-    return entries.join(crowds, "key", "left_semi")
+    crowds = cut(entries.groupBy("key").count().where(F.col("count") >= CROWD).select("key"))
+    return entries.where(_passes(_filter(crowds, F.col("key")), F.col("key"))).join(crowds, "key", "left_semi")
 
 
 def _leaders(entries: DataFrame) -> DataFrame:
@@ -210,26 +223,28 @@ def _alike(first: DataFrame, percent: int) -> DataFrame:
     return shared.where("count >= common").drop("common", "count")
 
 
-def _sharing(first: DataFrame, percent: int, part: int) -> DataFrame:
+def _sharing(lines: DataFrame, percent: int, part: int) -> DataFrame:
     """Pairs that share first words of one part, how many of them, and how many they must share in all parts."""
-    entries = first.select(F.posexplode("start").alias("at", "token"), *(c for c in first.columns if c != "start"))
+    entries = lines.select(F.posexplode("start").alias("at", "token"), *(c for c in lines.columns if c != "start"))
     entries = entries.where(F.pmod("token", F.lit(PASSES)) == part)
     x, y = entries.alias("x"), entries.alias("y")
     n = F.col("x.n") + F.col("y.n")
-    indexed = F.col("x.n") - _at_least(2 * percent, 100 + percent, F.col("x.n")) + _common(F.col("x.n")) - F.col("x.at")
-    left, right = F.struct("x.doc", "x.line"), F.struct("y.doc", "y.line")
+    first = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
     before, after = F.least("x.at", "y.at"), F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    # Of the shorter set fewer first words are enough: at < n - ceil(n * 2 * percent / (100 + percent)) + common.
+    indexed = (F.col("x.at") + 1 - _common(F.col("x.n"))) * (100 + percent) <= F.col("x.n") * (100 - percent)
     joined = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
-        & (F.least(indexed, F.col("y.n")) > 0)  # names both sides, so that they stay one shuffle
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (left < right)))
+        & (F.when(indexed, F.col("y.n")).otherwise(0) >= F.col("x.n"))  # names both sides, so that they stay one shuffle
         & _close(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
+        & ((F.col("x.n") < F.col("y.n")) | first)
+        & ((before + after) * (100 + percent) >= n * percent)
         & _wide_close("x", "y", percent)
-        & F.when(left < right, F.col("y.open")).otherwise(F.col("x.open"))
-        & ((before + after) * (100 + percent) >= n * percent),
+        & F.when(first, F.col("y.open")).otherwise(F.col("x.open")),
     )
-    pair = joined.select(*_pair(F.least(left, right), F.greatest(left, right)), _common(F.col("x.n")).alias("common"))
+    ends = [F.when(first, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}")).alias(f"{e}_{c}") for e, a, b in (("a", "x", "y"), ("b", "y", "x")) for c in ("doc", "line")]
+    pair = joined.select(*ends, _common(F.col("x.n")).alias("common"))
     return pair.groupBy("a_doc", "a_line", "b_doc", "b_line", "common").count()
 
 
@@ -252,11 +267,14 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
     levels = _levels(docs)
     sets = cut(_sets(docs, levels, percent, least))
     place = F.min(F.struct("doc_id", "line")).alias("p")
-    same = ["n", "sketch", "wide0", "wide1", "near", "start"]
+    same = ["n", "sketch", "wide0", "wide1", "ends", "start"]
     first = sets.groupBy("k1", "k2").agg(place, *(F.first(c).alias(c) for c in same))
-    first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", *same))
-    lines = stored(sets.select("doc_id", "line", "k1", "k2"), "lines")
-    del sets  # its beginnings of sets are the largest part of what is kept
+    first = cut(first.select(F.col("p.doc_id").alias("doc"), "p.line", "k1", "k2", *same))
+    # Lines that repeat a set go whether its first line stays or not.
+    places = first.select("k1", "k2", F.col("doc").alias("doc_id"), "line")
+    repeats = cut(sets.select("k1", "k2", "doc_id", "line").join(places, ["k1", "k2", "doc_id", "line"], "left_anti").select("doc_id", "line").distinct())
+    first = first.drop("k1", "k2")
+    del sets, places  # its beginnings of sets are the largest part of what is kept
     later, entries = None, cut(_crowds(first))
     for _ in range(TURNS):
         leaders = cut(_leaders(entries))
@@ -266,13 +284,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_W
         later = found if later is None else later.unionByName(found)
     del entries, leaders, led
     closed = later.withColumn("closed", F.lit(True))
-    first = cut(first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull()).drop("closed", "near"))
-    later = cut(later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).distinct())
-    places = lines.groupBy("k1", "k2").agg(place).select("k1", "k2", "p.*").withColumnsRenamed({"doc_id": "doc", "line": "first_line"})
-    places = places.join(later.select("doc", F.col("line").alias("first_line"), F.lit(True).alias("gone")), ["doc", "first_line"], "left")
-    lines = lines.join(places, ["k1", "k2"])
-    gone = F.col("gone").isNotNull() | (F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("first_line"))
-    return lines.where(gone).select("doc_id", "line").distinct()
+    first = cut(first.join(closed, ["doc", "line"], "left").withColumn("open", F.col("closed").isNull()).drop("closed", "ends"))
+    later = later.unionByName(_verified(docs, cut(_alike(first, percent)), percent)).withColumnRenamed("doc", "doc_id")
+    return later.unionByName(repeats).distinct()
 
 
 def dedup_lines(
